@@ -74,3 +74,105 @@ def merged_sql(src: str, keys: str, name: str) -> str:
       {name}_i AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + 1 THEN 1 ELSE 0 END)
         OVER (PARTITION BY {keys} ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS isl FROM {name}_r),
       {name} AS (SELECT {keys}, min("start") AS "start", max("end") AS "end" FROM {name}_i GROUP BY {keys}, isl)"""
+
+
+# --- reads --------------------------------------------------------------------------------------
+# A line item is a read on its supplier's contig. Reference and read bases come from integer
+# arithmetic on (supplier, position), so both engines derive the same sequence; an operation per line
+# number gives clips, deletions and insertions, and a sparse rule flips bases.
+
+BASE_DAY = 9000
+QUAL_TEXT = "!+5:?DII"
+
+
+def ref_index(k, p):
+    return (k * 31 + p * 17 + (p * p) % 13) % 4
+
+
+_REF = "(({k}) * 31 + ({p}) * 17 + (({p}) * ({p})) % 13) % 4"
+
+
+def reads(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    n = F.col("l_quantity").cast("long")
+    ln = F.col("l_linenumber").cast("long")
+    shape = F.when(n < 10, 0).otherwise(ln % 4)
+    half = F.floor(n / 2)
+    base = li.select(
+        F.col("l_orderkey").alias("ok"), ln.alias("ln"), F.col("l_suppkey").alias("k"),
+        (day("l_shipdate") - BASE_DAY).alias("pos"), n.alias("n"), half.alias("half"), shape.alias("shape"),
+        F.col("l_linestatus").alias("strand"), F.col("l_returnflag").alias("rf"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("disc"),
+    )
+    cigar = (
+        F.when(F.col("shape") == 0, F.format_string("%dM", "n"))
+        .when(F.col("shape") == 1, F.format_string("2S%dM", F.col("n") - 2))
+        .when(F.col("shape") == 2, F.format_string("%dM2D%dM", "half", F.col("n") - F.col("half")))
+        .otherwise(F.format_string("%dM1I%dM", "half", F.col("n") - F.col("half") - 1))
+    )
+
+    def base_at(i):
+        off = (
+            F.when(F.col("shape") == 1, i - 2)
+            .when((F.col("shape") == 2) & (i >= F.col("half")), i + 2)
+            .when((F.col("shape") == 3) & (i > F.col("half")), i - 1)
+            .otherwise(i)
+        )
+        flip = F.when((F.col("ok") * 7 + F.col("ln") * 3 + i * 5) % 23 == 0, F.lit(1)).otherwise(F.lit(0))
+        idx = (ref_index(F.col("k"), F.col("pos") + off) + flip) % 4
+        return F.substring(F.lit("ACGT"), (idx + 1).cast("int"), F.lit(1))
+
+    idx = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    seq = F.array_join(F.transform(idx, base_at), "")
+    qual = F.array_join(
+        F.transform(idx, lambda i: F.substring(F.lit(QUAL_TEXT), (((F.col("ok") + i * 3 + F.col("disc")) % 8) + 1).cast("int"), F.lit(1))), ""
+    )
+    flag = (
+        F.lit(1) + F.when(F.col("strand") == "F", 16).otherwise(0) + F.when(F.col("ok") % 17 == 0, 1024).otherwise(0)
+        + F.when((F.col("ln") == 7) & (F.col("ok") % 2 == 0), 256).otherwise(0) + F.when(F.col("ok") % 41 == 0, 512).otherwise(0)
+        + F.when((F.col("ln") == 6) & (F.col("ok") % 3 == 0), 2048).otherwise(0) + F.when(F.col("ok") % 29 == 0, 4).otherwise(0)
+        + F.when(F.col("disc") == 5, 8).otherwise(0)
+    )
+    return base.select(
+        "ok", "ln", "k", F.col("k").cast("string").alias("contig"), "pos",
+        F.concat_ws(":", F.col("ok").cast("string"), F.col("ln").cast("string")).alias("qname"),
+        flag.cast("int").alias("flag"),
+        F.when(F.col("ok") % 19 == 0, 255).otherwise(F.col("ok") % 60 + 5).cast("int").alias("mapq"),
+        cigar.alias("cigar"), seq.alias("seq"), qual.alias("qual"),
+        F.when(F.col("ok") % 31 == 0, F.lit(None)).when(F.col("ok") % 37 == 0, F.lit("g9")).otherwise(F.concat(F.lit("g"), (F.col("ln") % 5).cast("string"))).alias("rg"),
+        F.when(F.col("rf") == "N", F.lit("=")).when(F.col("rf") == "A", F.col("k").cast("string")).otherwise(F.lit("other")).alias("rnext"),
+        F.concat(F.lit("s"), (F.col("ln") % 3).cast("string")).alias("sample"),
+        F.create_map(F.lit("PG"), F.lit("p1")).alias("tags"),
+    )
+
+
+_FLIP = "CASE WHEN (ok * 7 + ln * 3 + i * 5) % 23 = 0 THEN 1 ELSE 0 END"
+_OFF = "CASE WHEN shape = 1 THEN i - 2 WHEN shape = 2 AND i >= half THEN i + 2 WHEN shape = 3 AND i > half THEN i - 1 ELSE i END"
+READS = f"""rd0 AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, l_suppkey AS k, {sql_day('l_shipdate')} - {BASE_DAY} AS pos,
+    CAST(l_quantity AS BIGINT) AS n, CAST(l_quantity AS BIGINT) // 2 AS half, CASE WHEN l_quantity < 10 THEN 0 ELSE l_linenumber % 4 END AS shape,
+    l_linestatus AS strand, l_returnflag AS rf, CAST(round(l_discount * 100) AS BIGINT) AS disc FROM lineitem),
+  reads AS (SELECT ok, ln, k, CAST(k AS VARCHAR) AS contig, pos, ok || ':' || ln AS qname,
+    CAST(1 + (CASE WHEN strand = 'F' THEN 16 ELSE 0 END) + (CASE WHEN ok % 17 = 0 THEN 1024 ELSE 0 END) + (CASE WHEN ln = 7 AND ok % 2 = 0 THEN 256 ELSE 0 END)
+      + (CASE WHEN ok % 41 = 0 THEN 512 ELSE 0 END) + (CASE WHEN ln = 6 AND ok % 3 = 0 THEN 2048 ELSE 0 END) + (CASE WHEN ok % 29 = 0 THEN 4 ELSE 0 END)
+      + (CASE WHEN disc = 5 THEN 8 ELSE 0 END) AS BIGINT) AS flag,
+    CASE WHEN ok % 19 = 0 THEN 255 ELSE ok % 60 + 5 END AS mapq, n, half, shape,
+    CASE shape WHEN 0 THEN n || 'M' WHEN 1 THEN '2S' || (n - 2) || 'M' WHEN 2 THEN half || 'M2D' || (n - half) || 'M' ELSE half || 'M1I' || (n - half - 1) || 'M' END AS cigar,
+    array_to_string(list_transform(range(0, n), lambda i: substr('ACGT', CAST((({_REF.format(k='k', p=f'pos + ({_OFF})')}) + ({_FLIP})) % 4 + 1 AS BIGINT), 1)), '') AS seq,
+    array_to_string(list_transform(range(0, n), lambda i: substr('{QUAL_TEXT}', CAST((ok + i * 3 + disc) % 8 + 1 AS BIGINT), 1)), '') AS qual,
+    CASE WHEN ok % 31 = 0 THEN NULL WHEN ok % 37 = 0 THEN 'g9' ELSE 'g' || (ln % 5) END AS rg,
+    CASE rf WHEN 'N' THEN '=' WHEN 'A' THEN CAST(k AS VARCHAR) ELSE 'other' END AS rnext, 's' || (ln % 3) AS sample FROM rd0)"""
+
+
+def reference_chunks(spark: SparkSession, sf: str, chunk: int = 256) -> DataFrame:
+    """The reference the reads were drawn from: one row per supplier and chunk of positions 1…3072."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
+    c = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3072 // chunk - 1).cast("long"))))
+    pos = F.sequence(F.col("chunk") * chunk + 1, (F.col("chunk") + 1) * chunk)
+    bases = F.array_join(
+        F.transform(pos, lambda p: F.substring(F.lit("ACGT"), (ref_index(F.col("k"), p) + 1).cast("int"), F.lit(1))), ""
+    )
+    return c.select("k", "chunk", bases.alias("bases"))
+
+
+def sql_ref_base(k: str, p: str) -> str:
+    return f"substr('ACGT', CAST({_REF.format(k=k, p=p)} + 1 AS BIGINT), 1)"
