@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.scan import BLOCK, Run, block_of, islands, prefix_scan
+from strandline.operators.scan import BLOCK, Run, block_of, prefix_scan, stitch, stitched_runs
 
 # Default band bounds.
 DEFAULT_BANDS = [*range(1, 61), 70, 80, 90, 99]
@@ -34,23 +34,19 @@ def band_upper(gq: Column, bands: Sequence[int]) -> Column:
     return F.coalesce(F.array_min(F.filter(arr, lambda b: b >= gq)), F.lit(int(bands[-1])))
 
 
-def _summary(df: DataFrame, keys: Sequence[str], head: str, upper: Column) -> DataFrame:
-    return df.groupBy(*keys, F.col(head).alias("start")).agg(
-        F.max("pos").alias("end"),
-        F.max(upper).alias("band_upper"),
-        F.min("gq").alias("min_gq"),
-        F.min("dp").alias("min_dp"),
-        F.max("dp").alias("max_dp"),
-    )
+_FIELDS = {
+    "band_upper": ("max", "__hi"), "min_gq": ("min", "gq"), "min_dp": ("min", "dp"), "max_dp": ("max", "dp"),
+}
 
 
 def gq_blocks(loci: DataFrame, keys: Sequence[str], bands: Sequence[int] = DEFAULT_BANDS, block: int = BLOCK) -> DataFrame:
     """Blocks by band partition. The band of a block is that of its first row, hence of every row: a new
     block starts exactly where the band or the position sequence breaks."""
-    lo, hi = band_partition(F.col("gq"), bands)
+    _, hi = band_partition(F.col("gq"), bands)
     x = loci.withColumn("__hi", hi)
-    x = islands(x, keys, "pos", F.col("prev___hi") == F.col("__hi"), carry=["__hi"], block=block, out="__head")
-    return _summary(x, keys, "__head", F.col("__hi"))
+    return stitched_runs(
+        x, keys, "pos", same=F.col("prev___hi") == F.col("__hi"), carry=["__hi"], aggs=_FIELDS, block=block
+    )
 
 
 def gq_blocks_delta(
@@ -123,14 +119,22 @@ def gq_blocks_delta(
                 lo = min(lo, int(gq[i]))
             else:
                 head[i], lo = True, int(gq[i])
-        return pdf[[*keys, "pos", "gq", "dp"]].assign(head=np.where(head, pos, -1))
-
-    marked = src.join(entries, [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(
-        replay, f"{key_schema}, pos long, gq int, dp long, head long"
+        cont = not head[0]
+        g = pdf.assign(r=np.cumsum(head)).groupby("r", sort=True).agg(
+            start=("pos", "min"), end=("pos", "max"), min_gq=("gq", "min"), min_dp=("dp", "min"), max_dp=("dp", "max")
+        )
+        g["__cont"] = [cont and i == 0 for i in range(len(g))]
+        for k in [*keys, "__block"]:
+            g[k] = pdf[k].iloc[0]
+        return g[[*keys, "__block", "start", "end", "min_gq", "min_dp", "max_dp", "__cont"]]
+
+    part = src.join(entries, [*keys, "__block"]).groupBy(*keys, "__block").applyInPandas(
+        replay,
+        f"{key_schema}, __block long, start long, end long, min_gq int, min_dp long, max_dp long, __cont boolean",
     )
-    marked = marked.withColumn("head", F.nullif("head", F.lit(-1).cast("long")))
-    owned = prefix_scan(marked, keys, "pos", {"__head": Run("max", "head")}, block)
-    return _summary(owned, keys, "__head", F.lit(0)).withColumn("band_upper", band_upper(F.col("min_gq"), bands))
+    part = part.withColumn("__open", block_of(F.col("end") + 1, block) != F.col("__block"))
+    aggs = {"min_gq": ("min", "min_gq"), "min_dp": ("min", "min_dp"), "max_dp": ("max", "max_dp")}
+    return stitch(part, keys, aggs).withColumn("band_upper", band_upper(F.col("min_gq"), bands))
 
 
 def coalesce_blocks(
@@ -139,17 +143,32 @@ def coalesce_blocks(
     """Absorb low-quality blocks into a leading block whose minimum is 0.
 
     Inside a run of touching blocks that are all at most ``max_delta``, every block after the first zero
-    block is absorbed and nothing else is, so the fold is two running aggregates.
+    block is absorbed and nothing else is. A block knows its run from the last break, and whether it is
+    absorbed from the last zero before it: one running scan. Each block is also shown to the position
+    block its successor starts in, so the break test is local.
     """
     keys = list(keys)
-    low = F.col("min_gq") <= max_delta
-    same = (F.col("start") == F.col("prev_end") + 1) & low & (F.col("prev_min_gq") <= max_delta)
-    runs = islands(blocks, keys, "start", same, carry=["end", "min_gq"], step=None, block=block, out="__run")
-    flagged = runs.withColumn("__zero", F.when(F.col("min_gq") == 0, F.col("start")))
-    seen = prefix_scan(flagged, [*keys, "__run"], "start", {"__first0": Run("max", "__zero", inclusive=False)}, block)
-    heads = seen.withColumn("__h", F.when(F.col("__first0").isNull(), F.col("start")))
-    owned = prefix_scan(heads, keys, "start", {"__head": Run("max", "__h")}, block)
-    merged = owned.groupBy(*keys, F.col("__head").alias("start")).agg(
+    own, nxt = block_of("start", block), block_of(F.col("end") + 1, block)
+    shown = blocks.withColumn("__b", F.explode(F.array_distinct(F.array(own, nxt))))
+    w = Window.partitionBy(*keys, "__b").orderBy("start")
+    touch = (
+        (F.col("start") == F.lag("end").over(w) + 1)
+        & (F.col("min_gq") <= max_delta)
+        & (F.lag("min_gq").over(w) <= max_delta)
+    )
+    x = shown.withColumn("__touch", F.coalesce(touch, F.lit(False))).where(F.col("__b") == own)
+    x = x.withColumn("__brk", F.when(~F.col("__touch"), F.col("start"))).withColumn(
+        "__zero", F.when(F.col("min_gq") == 0, F.col("start"))
+    ).drop("__b", "__touch")
+    s = prefix_scan(
+        x, keys, "start", {"__run": Run("max", "__brk"), "__seen": Run("max", "__zero", inclusive=False)}, block
+    )
+    absorbed = F.coalesce(F.col("__seen") >= F.col("__run"), F.lit(False))
+    in_zero = absorbed | (F.col("min_gq") == 0)
+    merged = s.groupBy(
+        *keys, in_zero.alias("__z"), F.when(in_zero, F.col("__run")).otherwise(F.col("start")).alias("__g")
+    ).agg(
+        F.min("start").alias("start"),
         F.max("end").alias("end"),
         F.min("min_gq").alias("min_gq"),
         F.min("min_dp").alias("min_dp"),
@@ -158,7 +177,7 @@ def coalesce_blocks(
         F.max("band_upper").alias("__band"),
     )
     upper = F.when(F.col("__n") > 1, band_upper(F.col("min_gq"), bands)).otherwise(F.col("__band"))
-    return merged.withColumn("band_upper", upper).drop("__n", "__band")
+    return merged.withColumn("band_upper", upper).drop("__n", "__band", "__z", "__g")
 
 
 def no_variation_summary(loci: DataFrame, keys: Sequence[str]) -> DataFrame:

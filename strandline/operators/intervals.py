@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators.scan import BLOCK, Run, islands, prefix_scan
+from strandline.operators.scan import BLOCK, local_union, pieces, stitch, stitched_runs
 
 
 def merge_intervals(
@@ -15,26 +15,43 @@ def merge_intervals(
 ) -> DataFrame:
     """Union of intervals per key; touching ones (``start = previous end + 1``) become one."""
     keys = list(keys)
-    longest = df.groupBy(*keys, start).agg(F.max(end).alias(end))
-    reach = prefix_scan(longest, keys, start, {"__reach": Run("max", end, inclusive=False)}, block)
-    heads = reach.withColumn(
-        "__head",
-        F.when(F.col("__reach").isNull() | (F.col(start) > F.col("__reach") + 1), F.col(start)),
-    )
-    owned = prefix_scan(heads, keys, start, {"__island": Run("max", "__head")}, block)
-    return owned.groupBy(*keys, F.col("__island").alias(start)).agg(F.max(end).alias(end))
+    cut = pieces(df, keys, start, end, block)
+    longest = cut.groupBy(*keys, "__block", start).agg(F.max(end).alias(end))
+    return local_union(longest, keys, start, end, block)
+
 
+def _steps(df: DataFrame, keys: list[str], start: str, end: str, block: int, amounts: dict[str, Column]) -> DataFrame:
+    """+amount at each piece's start and -amount right after its end, the latter only inside the block.
 
-def _edges(df: DataFrame, keys: Sequence[str], start: str, end: str, side: str, other: str) -> DataFrame:
-    marks = F.array(
-        F.struct(F.col(start).cast("long").alias("pos"), F.lit(1).alias("d")),
-        F.struct((F.col(end) + 1).cast("long").alias("pos"), F.lit(-1).alias("d")),
+    A piece that covers a block border counts from the border, so running sums need no carry.
+    """
+    cut = pieces(df, keys, start, end, block, *[c for c in df.columns if c not in (*keys, start, end)])
+    after = F.col(end) + 1
+    inside = F.floor(after / F.lit(block)) == F.col("__block")
+    up = F.struct(
+        F.col(start).alias("pos"), *[v.cast("double" if n == "w" else "long").alias(n) for n, v in amounts.items()],
+        F.col("__first").alias("real"),
+    )
+    down = F.struct(
+        after.alias("pos"), *[(-v).cast("double" if n == "w" else "long").alias(n) for n, v in amounts.items()],
+        F.lit(True).alias("real"),
     )
-    return df.select(*keys, F.explode(marks).alias("m")).select(
-        *keys,
-        F.col("m.pos").alias("pos"),
-        F.col("m.d").cast("long").alias(side),
-        F.lit(0).cast("long").alias(other),
+    marks = F.when(inside, F.array(up, down)).otherwise(F.array(up))
+    return (
+        cut.select(*keys, "__block", F.explode(marks).alias("m"))
+        .groupBy(*keys, "__block", F.col("m.pos").alias("pos"))
+        .agg(*[F.sum(f"m.{n}").alias(n) for n in amounts], F.max("m.real").alias("real"))
+    )
+
+
+def _levels(steps: DataFrame, keys: list[str], names: Sequence[str], start: str, end: str, block: int) -> DataFrame:
+    w = Window.partitionBy(*keys, "__block").orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = (F.col("__block") + 1) * block - 1
+    return steps.select(
+        *keys, "__block", "real", F.col("pos").alias(start),
+        F.coalesce(F.lead("pos").over(w) - 1, last).alias(end),
+        *[F.sum(n).over(upto).alias(n) for n in names],
     )
 
 
@@ -43,58 +60,31 @@ def sweep(
     keys: Sequence[str],
     start: str = "start",
     end: str = "end",
-    weight: str | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Piecewise constant depth: ``start, end, depth`` segments between breakpoints, zero depth included
-    inside the span of a key. Cost follows the number of breakpoints, not the covered length."""
+    """Covered stretches between breakpoints with their depth: ``start, end, depth``.
+
+    Cost follows the number of breakpoints, not the covered length.
+    """
     keys = list(keys)
-    w = F.col(weight) if weight else F.lit(1).cast("long")
-    marks = F.array(
-        F.struct(F.col(start).cast("long").alias("pos"), w.alias("d")),
-        F.struct((F.col(end) + 1).cast("long").alias("pos"), (-w).alias("d")),
-    )
-    steps = (
-        df.select(*keys, F.explode(marks).alias("m"))
-        .groupBy(*keys, F.col("m.pos").alias("pos"))
-        .agg(F.sum("m.d").alias("d"))
-    )
-    run = prefix_scan(
-        steps,
-        keys,
-        "pos",
-        {
-            "depth": Run("sum", "d"),
-            "__next": Run("min", "pos", inclusive=False, reverse=True),
-        },
-        block,
-    )
-    return run.where(F.col("__next").isNotNull()).select(
-        *keys, F.col("pos").alias("start"), (F.col("__next") - 1).alias("end"), "depth"
+    steps = _steps(df.select(*keys, start, end), keys, start, end, block, {"depth": F.lit(1)})
+    segs = _levels(steps, keys, ["depth"], "start", "end", block).where(F.col("depth") > 0)
+    part = segs.withColumn("__cont", ~F.col("real")).withColumn(
+        "__open", F.col("end") == (F.col("__block") + 1) * block - 1
     )
+    return stitch(part, keys, {"depth": ("max", "depth")})
 
 
 def _two_sided(
     a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, keep: Column, block: int
 ) -> DataFrame:
     keys = list(keys)
-    marks = _edges(a, keys, start, end, "a", "b").unionByName(_edges(b, keys, start, end, "b", "a"))
-    steps = marks.groupBy(*keys, "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = prefix_scan(
-        steps,
-        keys,
-        "pos",
-        {
-            "in_a": Run("sum", "a"),
-            "in_b": Run("sum", "b"),
-            "__next": Run("min", "pos", inclusive=False, reverse=True),
-        },
-        block,
-    )
-    segs = run.where(F.col("__next").isNotNull() & keep).select(
-        *keys, F.col("pos").alias(start), (F.col("__next") - 1).alias(end)
+    both = a.select(*keys, start, end, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(
+        b.select(*keys, start, end, F.lit(0).alias("__a"), F.lit(1).alias("__b"))
     )
-    return merge_intervals(segs, keys, start, end, block)
+    steps = _steps(both, keys, start, end, block, {"in_a": F.col("__a"), "in_b": F.col("__b")})
+    segs = _levels(steps, keys, ["in_a", "in_b"], start, end, block).where(keep)
+    return local_union(segs.select(*keys, "__block", start, end), keys, start, end, block)
 
 
 def subtract_intervals(
@@ -271,5 +261,4 @@ def dictionary_diff(a: DataFrame, b: DataFrame, key: str = "contig") -> DataFram
 
 def contiguous_runs(df: DataFrame, keys: Sequence[str], pos: str = "pos", block: int = BLOCK) -> DataFrame:
     """Runs of consecutive positions as intervals."""
-    runs = islands(df.select(*keys, pos).distinct(), keys, pos, F.lit(True), block=block)
-    return runs.groupBy(*keys, F.col("island_start").alias("start")).agg(F.max(pos).alias("end"))
+    return stitched_runs(df.select(*keys, pos).distinct(), keys, pos, block=block)

@@ -90,10 +90,9 @@ def _lookup(
 ) -> DataFrame:
     """Running aggregate of ``facts`` (keys, pos, v) at each distinct query position (keys, pos)."""
     kind = {"sum": F.sum, "max": F.max, "min": F.min}[run.kind]
-    both = queries.select(*keys, "pos", F.lit(None).cast("long").alias("v")).unionByName(
-        facts.select(*keys, "pos", F.col("v").cast("long").alias("v"))
-    )
-    points = both.groupBy(*keys, "pos").agg(kind("v").alias("v"))
+    known = facts.groupBy(*keys, "pos").agg(kind("v").cast("long").alias("v"))
+    both = queries.select(*keys, "pos", F.lit(None).cast("long").alias("v")).unionByName(known)
+    points = both.groupBy(*keys, "pos").agg(F.max("v").alias("v"))
     return prefix_scan(points, keys, "pos", {out: run}, block).select(*keys, "pos", out)
 
 

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.joins import overlap_mark
-from strandline.operators.scan import BLOCK, block_of, islands
+from strandline.operators.scan import BLOCK, block_of, stitched_runs
 
 # Smoothing and segmentation defaults.
 FILTER_SIZE, SIGMA, MIN_TAP = 50, 17.0, 1e-5
@@ -58,24 +58,29 @@ def band_pass(
 ) -> DataFrame:
     """Smooth each run of consecutive positions with the kernel; mass past a run's ends is lost.
 
-    Rows are sent once (twice near a block edge) to the position block their taps fall in, and the taps
-    are only opened there: the shuffle carries about one row per input row, not one per tap. Clip
-    evidence multiplies the mass at its own position.
+    Rows go to the position block their taps fall in (twice near a block edge) and the taps are only
+    opened there: the shuffle carries about one row per input row, not one per tap. A tap can only cross
+    positions that are all present, which the rows of one block and its rim can tell by themselves.
+    Clip evidence multiplies the mass at its own position.
     """
     keys = list(keys)
     r = (len(kernel) - 1) // 2
     taps = F.array(*[F.lit(float(k)) for k in kernel])
-    src = islands(df, keys, pos, F.lit(True), out="__run")
-    mass = F.col(prob)
+    mass = F.col(prob).cast("double")
     if clip:
         mass = mass * spread_copies(F.col(clip), F.col(pos), length, propagation + r)
-    run_keys = [*keys, "__run"]
-    lo, hi = block_of(F.col(pos) - r, block), block_of(F.col(pos) + r, block)
-    rows = src.select(
-        *run_keys, F.col(pos).alias("__p"), mass.alias("__m"),
-        F.explode(F.when(F.col(prob) > 0, F.sequence(lo, hi)).otherwise(F.array(block_of(pos, block)))).alias("__b"),
-    ).repartition(*run_keys, "__b")
-    own = F.array(F.struct(F.col("__p").alias("pos"), F.lit(0.0).alias("v"), F.lit(True).alias("own")))
+    p = F.col(pos).cast("long")
+    rows = df.select(
+        *keys, p.alias("__p"), mass.alias("__m"),
+        F.explode(F.sequence(block_of(p - r, block), block_of(p + r, block))).alias("__b"),
+    )
+    w = Window.partitionBy(*keys, "__b").orderBy("__p")
+    gap = F.when(F.col("__p") - F.lag("__p").over(w) == 1, 0).otherwise(1)
+    rows = rows.withColumn("__gap", gap).withColumn(
+        "__run", F.sum("__gap").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    shape = "array<struct<pos:bigint,v:double,own:boolean>>"
+    own = F.array(F.struct(F.col("__p").alias("pos"), F.lit(0.0).alias("v"), F.lit(True).alias("own"))).cast(shape)
     spread = F.transform(
         F.sequence(
             F.greatest(F.col("__p") - r, F.col("__b") * block),
@@ -86,22 +91,20 @@ def band_pass(
             (F.col("__m") * F.element_at(taps, (q - F.col("__p") + r + 1).cast("int"))).alias("v"),
             F.lit(False).alias("own"),
         ),
-    )
+    ).cast(shape)
+    none = F.array().cast(shape)
     here = block_of("__p", block) == F.col("__b")
-    none = F.array().cast("array<struct<pos:bigint,v:double,own:boolean>>")
     opened = rows.select(
-        *run_keys, "__b",
+        *keys, "__b", "__run",
         F.explode(
-            F.concat(
-                F.when(here, own.cast("array<struct<pos:bigint,v:double,own:boolean>>")).otherwise(none),
-                F.when(F.col("__m") > 0, spread.cast("array<struct<pos:bigint,v:double,own:boolean>>")).otherwise(none),
-            )
+            F.concat(F.when(here, own).otherwise(none), F.when(F.col("__m") > 0, spread).otherwise(none))
         ).alias("t"),
     )
-    agg = opened.groupBy(*run_keys, "__b", F.col("t.pos").alias(pos)).agg(
+    # (keys, block) is already the partitioning, so this aggregation does not shuffle.
+    agg = opened.groupBy(*keys, "__b", "__run", F.col("t.pos").alias(pos)).agg(
         F.sum("t.v").alias(out), F.max("t.own").alias("__own")
     )
-    return agg.where("__own").select(*keys, F.col("__run").alias("run"), pos, out)
+    return agg.where("__own").select(*keys, pos, out)
 
 
 def segment(
@@ -125,8 +128,10 @@ def segment(
     keys = list(keys)
     src = df.select(*keys, F.col(pos).cast("long").alias("pos"), F.col(prob).cast("double").alias("p"))
     src = src.withColumn("is_active", F.col("p") > threshold)
-    own = islands(src, keys, "pos", F.col("prev_is_active") == F.col("is_active"), carry=["is_active"], block=block, out="start")
-    runs = own.groupBy(*keys, "start", "is_active").agg(F.max("pos").alias("end"))
+    runs = stitched_runs(
+        src, keys, "pos", same=F.col("prev_is_active") == F.col("is_active"), carry=["is_active"],
+        aggs={"is_active": ("max", "is_active")}, block=block,
+    )
     long_active = F.col("is_active") & (F.col("end") - F.col("start") + 1 >= max_size)
     step = F.when(F.col("is_active"), F.col("end") - F.col("start") + 1).otherwise(F.lit(max_size).cast("long"))
     plain = (
@@ -136,7 +141,7 @@ def segment(
         .select(*keys, "start", F.least(F.col("start") + step - 1, F.col("__end")).alias("end"), "is_active")
     )
     longs = runs.where(long_active).select(*keys, F.col("start").alias("run"), F.col("end").alias("run_end"))
-    cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, block)
+    cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, min(block, 1 << 14))
     both = plain.unionByName(cuts.withColumn("is_active", F.lit(True)))
     hi = F.col("end") + pad if length is None else F.least(length, F.col("end") + pad)
     return both.select(
