@@ -23,23 +23,26 @@ def merge_intervals(
 def _steps(df: DataFrame, keys: list[str], start: str, end: str, block: int, amounts: dict[str, Column]) -> DataFrame:
     """+amount at each piece's start and -amount right after its end, the latter only inside the block.
 
-    A piece that covers a block border counts from the border, so running sums need no carry.
+    A piece that covers a block border counts from the border, so running sums need no carry. An interval
+    ending exactly at a border leaves a zero step in the next block, which keeps the breakpoint.
     """
     cut = pieces(df, keys, start, end, block, *[c for c in df.columns if c not in (*keys, start, end)])
     after = F.col(end) + 1
-    inside = F.floor(after / F.lit(block)) == F.col("__block")
-    up = F.struct(
-        F.col(start).alias("pos"), *[v.cast("double" if n == "w" else "long").alias(n) for n, v in amounts.items()],
-        F.col("__first").alias("real"),
-    )
-    down = F.struct(
-        after.alias("pos"), *[(-v).cast("double" if n == "w" else "long").alias(n) for n, v in amounts.items()],
-        F.lit(True).alias("real"),
-    )
-    marks = F.when(inside, F.array(up, down)).otherwise(F.array(up))
+    next_block = F.floor(after / F.lit(block)).cast("long")
+    inside = next_block == F.col("__block")
+
+    def step(pos: Column, blk: Column, real: Column, sign: Column) -> Column:
+        return F.struct(
+            pos.alias("pos"), blk.alias("blk"), real.alias("real"),
+            *[(v * sign).cast("long").alias(n) for n, v in amounts.items()],
+        )
+
+    up = step(F.col(start), F.col("__block"), F.col("__first"), F.lit(1))
+    down = step(after, next_block, F.lit(True), F.when(inside, -1).otherwise(0))
+    marks = F.when(inside | F.col("__last"), F.array(up, down)).otherwise(F.array(up))
     return (
-        cut.select(*keys, "__block", F.explode(marks).alias("m"))
-        .groupBy(*keys, "__block", F.col("m.pos").alias("pos"))
+        cut.select(*keys, F.explode(marks).alias("m"))
+        .groupBy(*keys, F.col("m.blk").alias("__block"), F.col("m.pos").alias("pos"))
         .agg(*[F.sum(f"m.{n}").alias(n) for n in amounts], F.max("m.real").alias("real"))
     )
 

@@ -227,5 +227,5 @@ def pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, block: int,
     return x.select(
         *keys, *extra, _BLK,
         F.greatest(F.col("__s"), lo).alias(start), F.least(F.col("__e"), lo + (block - 1)).alias(end),
-        (F.col("__s") >= lo).alias("__first"),
+        (F.col("__s") >= lo).alias("__first"), (F.col("__e") <= lo + (block - 1)).alias("__last"),
     )

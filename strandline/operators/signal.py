@@ -141,7 +141,7 @@ def segment(
         .select(*keys, "start", F.least(F.col("start") + step - 1, F.col("__end")).alias("end"), "is_active")
     )
     longs = runs.where(long_active).select(*keys, F.col("start").alias("run"), F.col("end").alias("run_end"))
-    cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, min(block, 1 << 14))
+    cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, max(min(block, 1 << 14), max_size + 1))
     both = plain.unionByName(cuts.withColumn("is_active", F.lit(True)))
     hi = F.col("end") + pad if length is None else F.least(length, F.col("end") + pad)
     return both.select(
@@ -177,8 +177,8 @@ def _cut_long(
 ) -> DataFrame:
     """Sequential cuts of long active runs, by blocks.
 
-    A region is at most ``max_size`` long, so a cut chain enters a block within its first ``max_size``
-    offsets. Pass one maps every possible entry offset of a block to the entry offset of the next block;
+    A region is at most ``max_size`` long, and a block longer, so a cut chain enters every block within its
+    first ``max_size`` offsets. Pass one maps every possible entry offset of a block to the entry offset of the next block;
     pass two chains those small maps per run; pass three walks each block from its known entry.
     """
     keys = list(keys)
