@@ -1,6 +1,6 @@
 """Queries over the driver's tables with their DuckDB counterparts."""
 
 from checks.registry import ORACLES, QUERIES
-from checks import filters, intervals, signals  # noqa: F401
+from checks import filters, intervals, pileups, signals, stats  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -302,7 +302,8 @@ def quality_histogram(seqs: DataFrame, qual: str = "qual", offset: int = 33) ->
 
 def composition(seq: str | Column = "seq") -> dict[str, Column]:
     """Base counts and GC share of a sequence; anything but A, C, G, T counts as N."""
-    s = F.upper(F.col(seq) if isinstance(seq, str) else seq)
+    # Not upper(): a case mapping may change the length of other letters.
+    s = F.translate(F.col(seq) if isinstance(seq, str) else seq, "acgt", "ACGT")
     n = F.length(s)
     c = {b: n - F.length(F.replace(s, F.lit(b), F.lit(""))) for b in "ACGT"}
     return {
