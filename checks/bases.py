@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.registry import table
+from checks.registry import spread, table
 
 
 def day(col: str):
@@ -93,7 +93,9 @@ _REF = "(({k}) * 31 + ({p}) * 17 + (({p}) * ({p})) % 13) % 4"
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_quantity", "l_linestatus", "l_returnflag", "l_discount"
+    ))
     n = F.col("l_quantity").cast("long")
     ln = F.col("l_linenumber").cast("long")
     shape = F.when(n < 10, 0).otherwise(ln % 4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bases import READS, SHIPMENTS, reads, reference_chunks, shipments, sql_ref_base
-from checks.registry import query, table
+from checks.registry import query, spread, table
 from strandline.functions import strings as T
 from strandline.operators import compare as V
 from strandline.operators import kmers as K
@@ -18,7 +18,7 @@ _BASES = ("ACGT" * 7)[:26]
 
 
 def dna(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"))
     s = F.regexp_replace(F.translate(F.col("text"), _LETTERS, _BASES), "[^ACGT]", "N")
     return d.select("doc_id", "lang", s.alias("seq"))
 
