@@ -262,8 +262,12 @@ def test_combine_coalesces_and_rejects(spark):
 def test_joint_genotype(spark):
     b = blocks(spark, [(0, 10, 10, "A", ["T", N], [90, 6, 0, 95, 99, 120], [0, 30, 0]), (1, 10, 10, "A", [N], [0, 90, 900], [30, 0])])
     r = Jt.genotype(C.combine(b), confidence=10.0).collect()[0]
-    assert r.alts == ["T"] and [c.gt for c in r.calls] == [[1, 1], [0, 0]] and [c.gq for c in r.calls] == [6, 90]
-    assert (r.ac, r.an, r.ns, r.dp) == ([2], 4, 2, 60) and abs(r.qd - r.qual / 30) < 1e-12
+    # The estimated frequency outweighs the 6 Phred between het and hom-alt.
+    assert r.alts == ["T"] and [c.gt for c in r.calls] == [[0, 1], [0, 0]] and [c.gq for c in r.calls] == [6, 90]
+    share = E.site_em(np.array([[-9.0, -0.6, 0.0], [0.0, -9.0, -90.0]]), np.ones(2), E.pseudocounts(2), True)[0]
+    f = share[1] / share.sum()
+    assert -0.6 + math.log10(2 * f * (1 - f)) > 2 * math.log10(f)
+    assert (r.ac, r.an, r.ns, r.dp) == ([1], 4, 2, 60) and abs(r.qd - r.qual / 30) < 1e-12
     assert Jt.genotype(C.combine(b), confidence=1e6).count() == 0
     # One sample, PL 90,6,0: the frequency always moves before the convergence test.
     counts, none, _, _ = E.site_em(np.array([[-9.0, -0.6, 0.0]]), np.ones(1), E.pseudocounts(2), True)
@@ -324,4 +328,5 @@ def test_gates_and_emission(spark):
     s = spark.createDataFrame([([0, 0], [9, 0], 50.0), ([0, 1], [5, 4], 50.0), ([1, 1], [0, 1], 50.0), ([1, 1], [0, 2], 50.0), ([0, 1], [5, 4], 9.0)], "gt array<int>, ad array<long>, qual double")
     assert S.emission_gates(s).count() == 2
     with pytest.raises(ValueError):
-        B.emit(spark.createDataFrame([], "k string, pos long"), None, ["k"], "XYZ")
+        e = spark.createDataFrame([], "k string, pos long")
+        B.emit(e, e, ["k"], "XYZ")

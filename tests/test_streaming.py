@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -48,7 +49,15 @@ def test_incremental_segmentation_equals_batch(spark, tmp_path):
     for i in range(0, len(rows), 150):
         spark.createDataFrame([("k", p, v) for p, v in rows[i : i + 150]], "k string, pos long, prob double").coalesce(1).write.mode("append").parquet(str(src))
     s = spark.readStream.schema("k string, pos long, prob double").option("maxFilesPerTrigger", 1).parquet(str(src))
-    got = drain(J.segment_stream(s, "k", 0.3, 5, 20, lookahead=10), "segs", spark).collect()
+    # Processing-time timers ask for empty batches without end: stop once every row has been through.
+    q = J.segment_stream(s, "k", 0.3, 5, 20, lookahead=10).writeStream.format("memory").queryName("segs").outputMode("append").start()
+    seen, deadline = 0, time.time() + 60
+    while seen < len(rows) and time.time() < deadline and q.isActive:
+        time.sleep(0.5)
+        seen = sum(p.numInputRows for p in q.recentProgress)
+    q.stop()
+    assert seen == len(rows), q.exception()
+    got = spark.table("segs").collect()
     want = segments(sig, 0.3, 5, 20)
     mine = sorted((r.start, r.end, r.kind == "active") for r in got if r.kind != "late")
     assert mine == want[: len(mine)]
