@@ -61,16 +61,14 @@ def _(spark, sf):
 
 
 def _graph(spark, sf):
-    """Reference chunks of every supplier plus its reads: a k-mer graph per chunk of positions."""
-    ref = reference_chunks(spark, sf)
-    r = reads(spark, sf).select("k", F.floor(F.col("pos") / 256).alias("chunk"), F.array("seq").alias("runs"))
-    both = r.unionByName(ref.select("k", "chunk", F.array("bases").alias("runs")))
-    return K.kmer_edges(both, ["k", "chunk"], "runs", 15)
+    """The reads of every supplier as one k-mer graph each."""
+    r = reads(spark, sf).select("k", K.usable_runs(F.col("seq"), F.col("qual")).alias("runs"))
+    return K.kmer_edges(r, ["k"], "runs", 5)
 
 
 @query("low_weight_prune")
 def _(spark, sf):
-    return K.low_weight_prune(_graph(spark, sf), ["k", "chunk"])
+    return K.low_weight_prune(_graph(spark, sf), ["k"])
 
 
 @query("homopolymer_run", f"WITH {DNA} SELECT doc_id, list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+|N+'), lambda x: length(x))) AS longest FROM dna")
