@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.genotype import let
 from strandline.functions.mathx import log_factorial_array
 from strandline.operators.scan import BLOCK, Run, prefix_scan
 
@@ -89,27 +90,33 @@ def fisher_strand(a: Column, b: Column, c: Column, d: Column) -> Column:
     cells = [x.cast("double") for x in (a, b, c, d)]
     total = cells[0] + cells[1] + cells[2] + cells[3]
     factor = F.when(total > 400, total / 200.0).otherwise(F.lit(1.0))
-    a, b, c, d = (F.floor(x / factor).cast("int") for x in cells)
+    names = "abcd"
+    scaled = F.struct(*[F.floor(x / factor).cast("int").alias(n) for n, x in zip(names, cells)])
     lf = log_factorial_array(401)
 
     def f(x: Column) -> Column:
         return F.element_at(lf, x + 1)
 
-    m, n, k = a + b, c + d, a + c
-    lo, hi = F.greatest(F.lit(0), k - n), F.least(k, m)
-
-    def logp(x: Column) -> Column:
-        return (
-            f(m) - f(x) - f(m - x) + f(n) - f(k - x) - f(n - k + x)
-            - (f(m + n) - f(k) - f(m + n - k))
+    def margins(t: Column) -> Column:
+        m, n, k = t["a"] + t["b"], t["c"] + t["d"], t["a"] + t["c"]
+        fixed = f(m) + f(n) + f(k) + f(m + n - k) - f(m + n)
+        return F.struct(
+            t["a"].alias("x"), m.alias("m"), n.alias("n"), k.alias("k"), fixed.alias("fixed"),
+            F.greatest(F.lit(0), k - n).alias("lo"), F.least(k, m).alias("hi"),
         )
 
-    threshold = logp(a) * (1.0 - 1e-7)
-    p = F.aggregate(
-        F.sequence(lo, hi), F.lit(0.0),
-        lambda acc, x: acc + F.when(logp(x) <= threshold, F.exp(logp(x))).otherwise(F.lit(0.0)),
-    )
-    p = F.when(lo >= hi, F.lit(1.0)).when(p <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), p))
+    def logp(t: Column, x: Column) -> Column:
+        return t["fixed"] - f(x) - f(t["m"] - x) - f(t["k"] - x) - f(t["n"] - t["k"] + x)
+
+    def tail(t: Column, limit: Column) -> Column:
+        lps = F.transform(F.sequence(t["lo"], t["hi"]), lambda x: logp(t, x))
+        return F.aggregate(lps, F.lit(0.0), lambda acc, v: acc + F.when(v <= limit, F.exp(v)).otherwise(F.lit(0.0)))
+
+    def p_value(t: Column) -> Column:
+        p = let(let(logp(t, t["x"]) * (1.0 - 1e-7), lambda limit: tail(t, limit)), lambda v: F.when(v <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), v)))
+        return F.when(t["lo"] >= t["hi"], F.lit(1.0)).otherwise(p)
+
+    p = let(let(scaled, margins), p_value)
     return F.greatest(F.lit(0.0), F.lit(-10.0) * F.log10(F.greatest(p, F.lit(1e-320))))
 
 
