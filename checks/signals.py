@@ -130,7 +130,7 @@ def _(spark, sf):
 
 def _hourly(spark, sf):
     e = table(spark, sf, "events")
-    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("long") - 473352 + 1
+    hour = F.unix_date(F.to_date("ts")).cast("long") * 24 + F.hour("ts") - 473352 + 1
     return e.groupBy(F.col("event_type").alias("k"), hour.alias("pos")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("value") > 20, 1).otherwise(0)).alias("hot")
     )
