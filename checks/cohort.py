@@ -270,9 +270,9 @@ def _(spark, sf):
     return e.select("pk", F.round("alt_share", 6).alias("af"), "alt_count", "rounds", (F.round("qual", 5) + 0.0).alias("qual"))
 
 
-@query("single_sample_none", f"WITH {_ARR} SELECT DISTINCT q, d FROM ar")
+@query("single_sample_none")
 def _(spark, sf):
-    """P(no variant) of one sample over three alleles, each (quantity, discount) pair once."""
-    a = _arrays(spark, sf).select("q", "d", F.slice("pl", 1, 6).alias("pl")).dropDuplicates(["q", "d"])
+    """P(no variant) of one sample over a reference, a SNP and a spanning deletion, per (quantity, discount)."""
+    a = _arrays(spark, sf).groupBy("q", "d").agg(F.min(F.slice("pl", 1, 6)).alias("pl"))
     v = E.single_sample_log10_none(F.col("pl"), F.array(F.lit("A"), F.lit("C"), F.lit("*")))
-    return a.withColumn("v", v).where("v <= 0").select("q", "d")
+    return a.select("q", "d", F.round(v, 6).alias("log10_none"))
