@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import token_files
+from strandline.llm import archives, token_files
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -21,3 +21,17 @@ def tokenizer_file(name: str) -> str:
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return token_files.read_documents(token_files.write_files(docs, "doc_id", "text", tokenizer_file("word_bpe_49k.json"), end_id=2))
+
+
+@query("op10_warc", """
+    with p as (select page_id, coalesce(html, '') as html, strlen(coalesce(html, ''))::bigint as payload_bytes from pages),
+    d as (select *, sha256(html) as payload_digest from p),
+    f as (select *, min(page_id) over (partition by payload_digest) as first from d)
+    select page_id, payload_bytes, payload_digest,
+           case when payload_bytes >= 100 and page_id > first then 'revisit' else 'response' end as record_type,
+           case when payload_bytes >= 100 and page_id > first then first end as refers_to
+    from f
+""")
+def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = archives.convert(archives.write_arc(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return archives.read_back(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
