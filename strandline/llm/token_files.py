@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 BATCH_TOKENS = 1 << 19  # tokens of one record batch
-CACHED_WORDS = 1_000_000  # words whose ids a Python worker keeps; then it starts anew
+CACHED_WORDS = 300_000  # words whose ids a Python worker keeps; then it starts anew
 
 MANIFEST = "file_no long, path string, index_path string, n_docs long, n_tokens long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
@@ -192,7 +192,7 @@ def write_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
         docs = tokens = 0
         with system.open_output_stream(draft) as sink, system.open_output_stream(index_draft) as beside:
             out, lines = SequenceWriter(sink, length, encoder.dtype), pa.ipc.new_stream(beside, INDEX)
-            for batch in common.batches_of(batches, "text", 16_000_000):
+            for batch in common.batches_of(batches, "text", 4_000_000):
                 ids, sizes = encoder.encode(batch.column(1).to_pylist())
                 out.write(with_ends(ids, sizes, end_id))
                 lines.write_batch(pa.record_batch([batch.column(0), pa.array(sizes + 1)], schema=INDEX))
