@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import archives, token_files
+from strandline.llm import archives, quality, token_files
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -35,3 +35,34 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = archives.convert(archives.write_arc(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
     return archives.read_back(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_quality_rules", r"""
+    with d as (select doc_id, source, coalesce(text, '') as t from documents),
+    w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+    i as (select doc_id, ws, unnest(range(1, len(ws) - 3)) as "at" from w),
+    g as (select doc_id, "at", count(*) over (partition by doc_id, list_slice(ws, "at", "at" + 4)) as n from i),
+    r as (select doc_id, count(distinct "at" + o.k) as n_repeat_words from g, range(5) o(k) where n > 1 group by doc_id),
+    l as (select doc_id, source, t, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as no from d),
+    lw as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n,
+                  trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) as norm from l),
+    u as (select doc_id, count(*) as n_dup_lines from (
+        select doc_id, row_number() over (partition by doc_id, line order by no) as k from lw where n > 0) where k > 1 group by doc_id),
+    h as (select source, greatest(20, count(distinct t) * 0.01) as lim from d group by source),
+    c as (select source, norm from lw join h using (source) where n > 0 group by source, norm, lim having count(distinct t) > lim),
+    m as (select doc_id, sum(n) as removed from lw semi join c using (source, norm) where n > 0 group by doc_id),
+    s as (select w.doc_id, len(ws)::bigint as n_words,
+                 (length(t) - length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')))::bigint as word_chars,
+                 length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+                 coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words,
+                 coalesce(removed, 0) as removed
+          from w left join u using (doc_id) left join r using (doc_id) left join m using (doc_id)),
+    f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           not base_failed and not (removed > 0.5 * n_words or n_words - removed < 10) as kept
+    from f
+""")
+def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.screen(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
