@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import archives, quality, token_files
+from strandline.llm import archives, licences, mixing, quality, secrets, token_files
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -66,3 +67,48 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.screen(table(spark, sf_dir, "documents"), "doc_id", "source", "text").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+WEIGHTS = {"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.06}
+
+
+@query("op4_mixing", """
+    with d as (select doc_id, source, text, length(coalesce(text, ''))::double as mass from documents),
+    m as (select source, sum(mass) as mass from d group by source),
+    w as (select *, case source when 'src0' then 0.10 when 'src1' then 0.10 when 'src2' then 0.08 when 'src3' then 0.06 end::double as weight from m),
+    t as (select sum(mass) as whole, sum(mass) filter (weight is null) as unnamed from w),
+    r as (select source, case when mass > 0 then coalesce(weight, 0.66::double * mass / unnamed) / (0.34::double + 0.66::double) * 1.5::double * whole / mass
+                              else 0 end as rate from w, t),
+    k as (select d.doc_id, d.source, rate, greatest(1, ceil(rate / 32))::int as parts,
+                 md5(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) as key
+          from d join r on d.source is not distinct from r.source where rate > 0),
+    u as (select *, rate / parts as pr, ('0x' || substr(md5('7:' || key || ':' || p.p::varchar), 1, 13))::bigint::double / 4503599627370496 as u
+          from (select *, unnest(range(1, parts + 1)) as p from k) p),
+    c as (select doc_id, source, key, rate, p, (select count(*) from (
+              select j, sum(exp(-pr) * pow(pr, j) / gamma(j + 1)) over (order by j) as cum from range(0, 140) g(j)) where u >= cum) as n
+          from u),
+    n as (select doc_id, source, rate, sum(n) as n from c group by doc_id, source, key, rate)
+    select doc_id, n.source, text, unnest(range(0, n::bigint))::int as copy, round(rate, 6) as rate from n join documents using (doc_id)
+""")
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", WEIGHTS, other=0.66, size=1.5)
+    return mixed.select("doc_id", "source", "text", F.col("__copy").alias("copy"), F.round("__rate", 6).alias("rate"))
+
+
+@query("op7_licences")
+def licences_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("op2_secrets")
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+    def number(no: int):
+        return F.size(F.filter("__base", lambda s: s["no"] == no)).cast("long")
+
+    return found.select(
+        "doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+        F.sha2(secrets.written(F.col("__base")), 256).alias("base_sha256"),
+        secrets.written(F.concat("__base", "__added")).alias("spans"),
+    )
