@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, licences, mixing, quality, secrets, token_files
+from strandline.llm import archives, jaccard, licences, mixing, quality, secrets, token_files
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -112,3 +112,9 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.written(F.col("__base")), 256).alias("base_sha256"),
         secrets.written(F.concat("__base", "__added")).alias("spans"),
     )
+
+
+@query("op6_jaccard_join")
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "set_id", "class_id", "class_size", "n_links")
