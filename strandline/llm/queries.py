@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, jaccard, licences, mixing, quality, secrets, token_files
+from strandline.llm import archives, jaccard, licences, mixing, quality, repeats, secrets, token_files
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -118,3 +118,10 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.join(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", "set_id", "class_id", "class_size", "n_links")
+
+
+@query("op9_repeats")
+def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find(table(spark, sf_dir, "documents"), "doc_id", "text")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "n_words", spans.alias("spans"))
