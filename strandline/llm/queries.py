@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, jaccard, licences, mixing, quality, repeats, secrets, token_files
+from strandline.llm import archives, jaccard, licences, mixing, quality, repeats, secrets, token_files, topk
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -125,3 +125,16 @@ def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.find(table(spark, sf_dir, "documents"), "doc_id", "text")
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "n_words", spans.alias("spans"))
+
+
+@query("op8_exact_topk", """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+               where vec_id is not null and len(embedding) > 0
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+          from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v)),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 5
+""")
+def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
