@@ -17,16 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_CHARS = 16_000_000  # text that one block of documents holds before it is passed on; results do not depend on it
+BLOCK_CHARS = 32_000_000  # text that one block of documents holds before it is passed on; results do not depend on it
 LONG_WORD = 192  # bytes; longer words are merged with a heap, since the fold's cost is quadratic in the word
-MARK = "\x00"  # before each entry of the rank table; no symbol
 BUCKETS = 32_768  # entries of the literal rank table
-NONE = "\uffff"  # the rank of two neighbours that make no token: above all symbols
+NONE = "\uffff"  # stands between entries, and for two neighbours that make no token: above all symbols
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,17 +47,17 @@ def symbols(word: bytes, single: list[str]) -> str:
 
 def rank_table(ranks: dict[bytes, int]) -> Column:
     """Which two neighbouring tokens make which token, as a constant: an array of short strings addressed by the CRC
-    of the two symbols, each entry a mark, the two symbols and the one they make. Symbols compare as their ranks do.
+    of the two symbols, each entry NONE, the two symbols and the one they make. Symbols compare as their ranks do.
     Few objects, since every task reads the constant anew."""
     if len(ranks) >= 0xD7FF:
         raise ValueError("a vocabulary of more than 55,000 tokens does not fit one character a token")
-    table = [""] * BUCKETS
+    table = [NONE] * BUCKETS
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
             if left is not None and right is not None:
                 pair = symbol(left) + symbol(right)
-                table[zlib.crc32(pair.encode()) % BUCKETS] += MARK + pair + symbol(rank)
+                table[zlib.crc32(pair.encode()) % BUCKETS] += pair + symbol(rank) + NONE
     return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), T.ArrayType(T.StringType()))
 
 
@@ -70,24 +70,162 @@ def fold_merges(table: Column, word: Column) -> Column:
     """One word of symbols with its ranked merges done: at each step of the fold the two neighbours of lowest rank,
     leftmost first, become one symbol, until no two neighbours have a rank."""
 
-    def rank_of(pair: Column) -> Column:
+    def merged_symbol(pair: Column) -> Column:
+        """The symbol that two make, else NONE: what follows the pair in its bucket, else the bucket's own beginning."""
         entries = F.get(table, (F.crc32(pair.cast("binary")) % BUCKETS).cast("int"))
-        return bound(
-            F.struct(entries.alias("e"), F.instr(entries, F.concat(F.lit(MARK), pair)).alias("at")),
-            lambda x: F.when(x["at"] > 0, F.substring(x["e"], x["at"] + 3, F.lit(1))).otherwise(NONE),
-        )
+        return F.substring(F.call_function("substring_index", entries, F.concat(F.lit(NONE), pair), F.lit(-1)), 1, 1)
 
     def step(now: Column, _: Column) -> Column:
+        w = now["w"]
         pairs = F.transform(
-            F.sequence(F.lit(1), F.length(now) - 1),
-            lambda i: F.struct(bound(F.substring(now, i, F.lit(2)), rank_of).alias("rank"), i.alias("at")),
-        )
-        return bound(
-            F.array_min(pairs),
-            lambda low: F.when(low["rank"] < NONE, F.overlay(now, low["rank"], low["at"], F.lit(2))).otherwise(now),
+            F.sequence(F.lit(1), F.length(w) - 1),
+            lambda i: F.struct(merged_symbol(F.substring(w, i, F.lit(2))).alias("makes"), i.alias("at")),
         )
-
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.length(word) - 1), word, lambda now, i: F.when(F.length(now) > 1, step(now, i)).otherwise(now)
-    )
-    return F.when(F.length(word) > 1, folded).otherwise(word)
+        return bound(F.array_min(pairs), lambda low: F.when(low["makes"] < NONE, F.struct(
+            F.overlay(w, low["makes"], low["at"], F.lit(2)).alias("w"), (F.length(w) > 2).alias("go")
+        )).otherwise(F.struct(w.alias("w"), F.lit(False).alias("go"))))
+
+    start = F.struct(word.alias("w"), (F.length(word) > 1).alias("go"))
+    steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    return F.aggregate(steps, start, lambda now, i: F.when(now["go"], step(now, i)).otherwise(now), lambda done: done["w"])
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges for one long word in n log n: a heap of pairs by rank and place over a chain of pieces."""
+    n = len(word)
+    end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple[int, int, int, int]] = []
+
+    def push(i: int) -> None:
+        j = after[i]
+        if i >= 0 and j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, end[i], end[j]))
+
+    for i in range(n - 1):
+        push(i)
+    gone = bytearray(n)
+    while heap:
+        _, i, middle, stop = heapq.heappop(heap)
+        if gone[i] or end[i] != middle or after[i] >= n or end[after[i]] != stop:
+            continue
+        j = after[i]
+        gone[j], end[i], after[i] = 1, stop, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        push(i)
+        if before[i] >= 0:
+            push(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
+class Vocabulary:
+    """What a Python worker keeps of a rank file."""
+
+    held: dict[str, Vocabulary] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Vocabulary:
+        if path not in cls.held:
+            cls.held[path] = cls(path)
+        return cls.held[path]
+
+    def __init__(self, path: str):
+        self.ranks = read_ranks(path)
+        self.single = [symbol(self.ranks[bytes([b])]) for b in range(256)]
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.decimals = [str(i) for i in range(len(self.tokens))]
+
+    def symbols(self, word: str) -> str:
+        """A word as it goes to the fold: one symbol if it is a token as a whole, else one a byte."""
+        data = word.encode("utf-8", "surrogatepass")
+        if (rank := self.ranks.get(data)) is not None:
+            return symbol(rank)
+        if len(data) > LONG_WORD:
+            return "".join(map(symbol, merge_long(data, self.ranks)))
+        return symbols(data, self.single)
+
+
+def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
+    """The binary pieces of the ids, one after the other."""
+    return b"".join(map(vocabulary.tokens.__getitem__, ids.tolist()))
+
+
+def digests(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[str, str]:
+    """SHA-256 of the ids in decimal, joined by commas, and of the bytes that they decode to."""
+    text = ",".join(map(vocabulary.decimals.__getitem__, ids.tolist()))
+    return hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decode(ids, vocabulary)).hexdigest()
+
+
+BLOCKS = pa.schema([
+    ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.list_(pa.string())),
+])
+
+
+def encode(df: DataFrame, id_col: str, text_col: str, rank_file: str, pattern: str, digest: bool = False) -> DataFrame:
+    """One row a row: doc_id, n_tokens, and either ``ids`` (16-bit little-endian) or the two digests.
+
+    Nulls: a null text is empty and has no tokens; a null id is kept. Rows that repeat an id each have theirs. Texts are
+    whole, of any length; words longer than LONG_WORD bytes are merged with a heap before the fold, which finds nothing
+    left to merge in them. An empty table gives an empty result; other columns are ignored.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, split = Vocabulary.of(rank_file), regex.compile(pattern)
+        known: dict[str, int] = {}
+        doc_ids, places, chars = [], [], 0
+
+        def block() -> pa.RecordBatch:
+            row = {
+                "doc_ids": doc_ids, "sizes": [len(p) for p in places], "places": np.concatenate(places).tobytes(),
+                "words": [vocabulary.symbols(w) for w in known],
+            }
+            return pa.RecordBatch.from_pylist([row], schema=BLOCKS)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = split.findall(text or "")
+                for word in set(found).difference(known):
+                    known[word] = len(known)
+                doc_ids.append(doc_id)
+                places.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+                chars += len(text or "")
+                if chars >= BLOCK_CHARS:
+                    yield block()
+                    known, doc_ids, places, chars = {}, [], [], 0
+        if doc_ids:
+            yield block()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary.of(rank_file)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_ids, sizes, places, words = (batch.column(c)[row] for c in range(4))
+                words = words.as_py()
+                sizes_of = np.fromiter(map(len, words), np.int64, len(words))
+                flat = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16) - np.uint16(1)
+                table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes_of)])), pa.array(flat))
+                places = np.frombuffer(places.as_py(), np.int32)
+                ids = pc.take(table, pa.array(places)).flatten().to_numpy()
+                ends = np.concatenate([[0], np.cumsum(sizes_of[places])])
+                edges = ends[np.concatenate([[0], np.cumsum(np.array(sizes.as_py(), np.int64))])]
+                parts = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                columns = [doc_ids.values, pa.array(np.diff(edges))]
+                if digest:
+                    both = [digests(p, vocabulary) for p in parts]
+                    columns += [pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())]
+                else:
+                    columns.append(pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary()))
+                yield pa.record_batch(columns, names=names)
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids"]
+    out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = rows.mapInArrow(number, "doc_ids array<long>, sizes array<long>, places binary, words array<string>")
+    merged = bound(rank_table(read_ranks(rank_file)), lambda table: F.transform("words", lambda w: fold_merges(table, w)))
+    return blocks.select("doc_ids", "sizes", "places", merged.alias("words")).mapInArrow(deal, out)

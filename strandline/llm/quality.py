@@ -143,6 +143,8 @@ def clean(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame
     stay as they are."""
     verdicts = screen(df, id_col, host_col, text_col).dropDuplicates(["key"]).where("kept").select(F.col("key").alias("__key"), F.col("gone").alias("__gone"))
 
+    columns_kept = df.columns
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches_of(batches, text_col, 4_000_000):
             at, gone = batch.schema.get_field_index(text_col), batch.column(batch.schema.get_field_index("__gone")).to_pylist()
@@ -151,7 +153,7 @@ def clean(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame
                 for t, g in zip(batch.column(at).to_pylist(), gone, strict=True)
             ]
             columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
-            yield pa.record_batch(columns, names=batch.schema.names).select(df.columns)
+            yield pa.record_batch(columns, names=batch.schema.names).select(columns_kept)
 
     rows = df.withColumn("__key", row_key(id_col, host_col, text_col)).join(verdicts, "__key").drop("__key")
     return rows.mapInArrow(read, df.schema)

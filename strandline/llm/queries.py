@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, jaccard, licences, mixing, quality, repeats, secrets, token_files, topk
+from strandline.llm import archives, bpe, jaccard, licences, mixing, quality, repeats, secrets, token_files, topk
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -138,3 +138,15 @@ def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0)
+
+
+def split_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@query("op3_byte_bpe")
+def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, "doc_id", "text", tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern(), digest=True)
