@@ -15,6 +15,7 @@ kept, each with its own tokens. An empty table gives no files. Other columns of
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,12 +30,16 @@ from pyspark.sql import functions as F
 from strandline.llm import common
 
 BATCH_TOKENS = 1 << 19  # tokens of one record batch
-CACHED_WORDS = 300_000  # words whose ids a Python worker keeps; then it starts anew
+CACHED_WORDS = 400_000  # words whose ids a Python worker keeps; beyond that, those that came again
 
 MANIFEST = "file_no long, path string, index_path string, n_docs long, n_tokens long"
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
 
 
+def letters_alone(word: str) -> bool:
+    return word.isalpha() and unicodedata.is_normalized("NFC", word) and word.lower().isalpha()
+
+
 class WordEncoder:
     """Ids of texts by the tokenizers library, one call for each distinct word of the worker.
 
@@ -54,6 +59,9 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.closes[number] = token.endswith("</w>")
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.clear()
 
@@ -63,6 +71,15 @@ class WordEncoder:
         self.ids: list[np.ndarray] = []
         self.total = 0
         self.table: pa.LargeListArray | None = None
+        self.again: set[bytes] = set()
+
+    def shrink(self) -> None:
+        """Make room: the words that came again since they were learnt stay, half a cache of them at most."""
+        words = list(self.again)[-CACHED_WORDS // 2 :]
+        kept = pc.take(self.table, pa.array([self.number[w] for w in words], pa.int64()))
+        self.number = {w: i for i, w in enumerate(words)}
+        self.offsets, self.ids = [kept.offsets.to_numpy().astype(np.int64)], [kept.values.to_numpy()]
+        self.total, self.table, self.again = len(self.ids[0]), kept, set()
 
     def learn(self, words: list[bytes]) -> None:
         tails = {b".": [], b",": []}
@@ -72,9 +89,7 @@ class WordEncoder:
             tail = low[-1:] if low[-1:] in tails and low[-2:-1].isalpha() and low.isascii() else b""
             stem = low[: len(low) - len(tail)]
             parts.append((stems.setdefault(stem, len(stems)), tail))
-        keys = list(tails) + list(stems)
-        encoded = self.tokenizer.encode_batch_fast([k.decode("utf-8", "surrogatepass") for k in keys], add_special_tokens=False)
-        found = [e.ids for e in encoded]
+        found = self.library([k.decode("utf-8", "surrogatepass") for k in chain(tails, stems)])
         tails = dict(zip(tails, found, strict=False))
         lists = [found[2 + stem] + tails[tail] if tail else found[2 + stem] for stem, tail in parts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -86,13 +101,31 @@ class WordEncoder:
         self.offsets, self.ids = [np.concatenate(self.offsets)], [np.concatenate(self.ids)]
         self.table = pa.LargeListArray.from_arrays(pa.array(self.offsets[0]), pa.array(self.ids[0]))
 
+    def library(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Words of letters alone are one pre-token each, whose last token is marked as such; they are
+        encoded by the sentence and cut at the marks. If the marks do not count up, or for other words, one by one."""
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha() or letters_alone(w)]
+        held = [words[i] for i in plain]
+        sentences = [" ".join(held[at : at + 64]) for at in range(0, len(held), 64)]
+        ids = list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(sentences, add_special_tokens=False)))
+        ends = (np.flatnonzero(self.closes[np.array(ids, np.int64)]) + 1).tolist()
+        out: list[list[int] | None] = [None] * len(words)
+        if len(ends) == len(plain):
+            for i, start, end in zip(plain, [0, *ends], ends, strict=False):
+                out[i] = ids[start:end]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
         split = [common.words_only(t) if t else [] for t in texts]
         if len(self.number) > CACHED_WORDS:
-            self.clear()
-        number = self.number
-        new = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in number]
+            self.shrink()
+        number, words = self.number, set(chain.from_iterable(split))
+        new = [w for w in words if w not in number]
+        self.again |= words.difference(new)
         if new:
             self.learn(new)
         counts = np.fromiter(map(len, split), np.int64, len(split))
