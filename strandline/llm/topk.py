@@ -103,8 +103,8 @@ def search(df: DataFrame, id_col: str, vector_col: str, asks: Column, k: int = 5
         pivots[n] = np.array([r["v"] for r in sample], np.int64)
         pivot_ids[n] = np.array([r["id"] for r in sample], np.int64)
     annuli = index(rows, pivots, tops)
-    shards = annuli.select(F.pmod(F.xxhash64("annulus"), F.lit(max(1, -(-annuli.count() // SHARD)))).cast("int").alias("shard"), "*")
     n_shards = max(1, -(-annuli.count() // SHARD))
+    shards = annuli.select(F.pmod(F.xxhash64("annulus"), F.lit(n_shards)).cast("int").alias("shard"), "*")
     queries = rows.where("asks").select("id", "v")
     n_groups = max(1, -(-queries.count() // GROUP))
     left = shards.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
