@@ -194,7 +194,7 @@ def spanning_deletion(event_start: Column, site: Column, alt: Column) -> Column:
 
 
 def trim_alleles(pos: Column, ref: Column, alt: Column) -> Column:
-    """Strip the shared tail, then the shared head, leaving at least one base on both sides."""
+    """Strip the shared head, then the shared tail, leaving at least one base on both sides."""
 
     def shared(a: Column, b: Column) -> Column:
         n = F.least(F.length(a), F.length(b)) - 1
@@ -209,29 +209,28 @@ def trim_alleles(pos: Column, ref: Column, alt: Column) -> Column:
     )
 
 
-def left_shift(pos: Column, ref: Column, alt: Column, upstream: Column, limit: int = 64) -> Column:
-    """Slide an indel left while its last base equals the base before it. ``upstream`` holds the bases
-    just before ``pos``; the walk stops at its start, so pass as much as the longest shift needs."""
-    start = F.struct(pos.alias("pos"), ref.alias("ref"), alt.alias("alt"), upstream.alias("up"))
+def left_shift(pos: Column, ref: Column, alt: Column, upstream: Column) -> Column:
+    """Trim, then slide an indel left while both alleles end in the base before them. ``upstream`` holds the bases just
+    before ``pos``; a slide that reaches its start before position 1 stops the query, since it could go on.
 
-    def step(s: Column, _i: Column) -> Column:
-        prev = F.right(s["up"], F.lit(1))
-        movable = (
-            (F.length(s["ref"]) != F.length(s["alt"])) & (F.length(s["up"]) > 0)
-            & (F.right(s["ref"], F.lit(1)) == F.right(s["alt"], F.lit(1)))
-        )
-        return F.when(
-            movable,
-            F.struct(
-                (s["pos"] - 1).alias("pos"),
-                F.concat(prev, F.left(s["ref"], F.length(s["ref"]) - 1)).alias("ref"),
-                F.concat(prev, F.left(s["alt"], F.length(s["alt"]) - 1)).alias("alt"),
-                F.left(s["up"], F.length(s["up"]) - 1).alias("up"),
-            ),
-        ).otherwise(s)
-
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step)
-    return F.struct(end["pos"].alias("pos"), end["ref"].alias("ref"), end["alt"].alias("alt"))
+    After trimming, alleles with a common last base x have one of them equal to x. Each slide takes one x from the
+    end of the longer allele and one from the upstream run of x, so the distance is the shorter of the two runs, or
+    the upstream run where the longer allele is all x.
+    """
+    t = trim_alleles(pos, ref, alt)
+    r, a, up = t["ref"], t["alt"], F.concat(upstream, F.left(ref, (t["pos"] - pos).cast("int")))
+    x = F.right(r, F.lit(1))
+    longer = F.when(F.length(r) > F.length(a), r).otherwise(a)
+    tail = F.length(longer) - F.length(F.rtrim(longer, x))
+    before = F.length(up) - F.length(F.rtrim(up, x))
+    far = F.when(tail == F.length(longer), before).otherwise(F.least(before, tail))
+    movable = (F.length(r) != F.length(a)) & (F.right(a, F.lit(1)) == x)
+    n = F.when(movable, far).otherwise(0)
+    more = movable & (n == F.length(up)) & (t["pos"] - n > 1) & ((tail == F.length(longer)) | (n < tail))
+    n = F.when(more, F.raise_error(F.lit("the upstream bases end inside the repeat")).cast("int")).otherwise(n)
+    moved = lambda v: F.concat(F.repeat(x, n), F.left(v, F.length(v) - n))
+    whole = lambda v: F.when(F.length(v) == F.length(longer), F.when(tail == F.length(longer), v).otherwise(moved(v))).otherwise(v)
+    return F.struct((t["pos"] - n).alias("pos"), whole(r).alias("ref"), whole(a).alias("alt"))
 
 
 def is_hom_ref(gt: Column) -> Column:

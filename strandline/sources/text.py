@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,43 +30,45 @@ def read_fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 def reference_chunks(fasta: DataFrame, chunk: int = 65536, key: str = "contig") -> DataFrame:
     """Sequences as fixed chunks: the working form for joins by position."""
-    n = F.length("seq")
-    idx = F.sequence(F.lit(0).cast("long"), F.floor((F.greatest(n, F.lit(1)) - 1) / chunk))
-    cut = F.transform(idx, lambda i: F.struct(i.alias("chunk"), F.substring(F.col("seq"), (i * chunk + 1).cast("int"), F.lit(chunk)).alias("bases")))
-    return fasta.where(n > 0).select(F.col("name").alias(key), F.explode(cut).alias("c")).select(
-        key, "c.chunk", (F.col("c.chunk") * chunk + 1).alias("chunk_start"), "c.bases"
-    )
+    # One pass over the text; a substring for each chunk would walk from the start every time.
+    cut = F.regexp_extract_all("seq", F.lit(f".{{1,{chunk}}}"), F.lit(0))
+    rows = fasta.where(F.length("seq") > 0).select(F.col("name").alias(key), F.posexplode(cut).alias("chunk", "bases"))
+    return rows.select(key, F.col("chunk").cast("long").alias("chunk"), (F.col("chunk").cast("long") * chunk + 1).alias("chunk_start"), "bases")
 
 
 def contigs_of(fasta: DataFrame) -> DataFrame:
     return fasta.select(F.col("name").alias("contig"), F.col("length").cast("long").alias("length"))
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """Lines with their file and number in it (from 0), however the files are split: each split counts its lines, and
+    the counts of the splits before it, one row a split, are carried in."""
+    t = _records(spark, path, "\n").select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"),
+    )
+    splits = t.groupBy("file", "split").agg(F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carry = splits.select("file", "split", "first", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("carry"))
+    return t.join(carry, ["file", "split"]).select("file", (F.col("at") - F.col("first") + F.col("carry")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """``name, description, seq, qual`` from four-line records.
-
-    The separator is a line break before ``@``; a quality line may begin with ``@`` too and then falls off
-    its record. Such a stray piece holds one line, a record three or four, so each stray joins the record
-    before it inside its file by its byte order.
-    """
-    r = _records(spark, path, "\n@").select(
-        "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o")
-    ).where(F.length("value") > 0)
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    full = r.withColumn("l", lines)
-    # A record that lost its quality line has three lines: header, sequence, plus.
-    lost = (F.size("l") == 3) & F.col("l")[2].startswith("+")
-    stray = (F.size(F.filter("l", lambda x: F.length(x) > 0)) == 1) & ~F.col("l")[0].startswith("@@")
-    w = Window.partitionBy("f", "b").orderBy("o")
-    nxt = full.withColumn("nx", F.lead("value").over(w)).withColumn("pv", F.lag(lost).over(w))
-    rec = nxt.where(~(stray & F.coalesce("pv", F.lit(False))))
-    qual = F.when(lost, F.concat(F.lit("@"), F.split(F.regexp_replace("nx", "\r", ""), "\n")[0])).otherwise(F.col("l")[3])
-    head = F.regexp_replace(F.col("l")[0], "^@", "")
-    return rec.select(
-        F.substring_index(head, " ", 1).alias("name"),
-        F.nullif(F.trim(F.substr(head, F.length(F.substring_index(head, " ", 1)) + 1)), F.lit("")).alias("description"),
-        F.col("l")[1].alias("seq"), qual.alias("qual"),
+    """``name, description, seq, qual`` from records of four lines. Lines are told by their number in the file, never
+    by what they begin with, so a quality may begin with ``@`` or ``+``. A broken record stops the query."""
+    lines = numbered_lines(spark, path)
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    rec = lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(
+        part(0).alias("head"), part(1).alias("seq"), part(2).alias("plus"), part(3).alias("qual")
     )
+    rec = rec.where(F.length(F.concat_ws("", "head", "seq", "plus", "qual")) > 0)
+    sound = F.col("head").startswith("@") & F.col("plus").startswith("+") & (F.length("seq") == F.length("qual"))
+    wrong = F.raise_error(F.concat(F.lit("not a FASTQ record: "), F.left("head", F.lit(60)))).cast("boolean")
+    rec = rec.where(F.coalesce(sound, F.lit(False)) | wrong)
+    head = F.substr("head", F.lit(2))
+    name = F.substring_index(head, " ", 1)
+    desc = F.nullif(F.trim(F.substr(head, F.length(name) + 1)), F.lit(""))
+    return rec.select(name.alias("name"), desc.alias("description"), "seq", "qual")
 
 
 def read_sam(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -85,6 +90,7 @@ def read_sam(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame,
         f[0].alias("qname"), f[1].cast("int").alias("flag"), F.nullif(f[2], F.lit("*")).alias("contig"), f[3].cast("long").alias("pos"),
         f[4].cast("int").alias("mapq"), f[5].alias("cigar"), f[6].alias("rnext"), f[7].cast("long").alias("pnext"), f[8].cast("long").alias("tlen"),
         F.when(f[9] == "*", "").otherwise(f[9]).alias("seq"), F.when(f[10] == "*", "").otherwise(f[10]).alias("qual"), tag_map.alias("tags"),
+        F.map_from_entries(F.transform(tags, lambda x: F.struct(F.left(x, F.lit(2)).alias("k"), F.substring(x, 4, 1).alias("v")))).alias("tag_types"),
     )
     return header, reads.withColumn("rg", F.try_element_at("tags", F.lit("RG")))
 
@@ -159,6 +165,14 @@ def checked(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("error").isNull() | F.raise_error(F.col("error")).cast("boolean")).drop("error")
 
 
+def _uri_of(path: str) -> str:
+    """A path as scans report it: absolute, its special characters escaped, without the local scheme."""
+    local = re.sub("^file:/+", "/", path)
+    if re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*:", local):
+        return local
+    return quote(os.path.abspath(local), safe="/:@!$&'()*+,;=~-._")
+
+
 def read_cohort(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Per-sample block tables in one scan: blocks for ``plans.combine``. The sample is the first one of each
     file's header; the order of ``paths`` gives ``input_ord``. Header rows are one per file."""
@@ -168,8 +182,12 @@ def read_cohort(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     names = header.where(F.col("value").startswith("#CHROM")).select("file", F.split("value", "\t").alias("h")).select(
         "file", F.try_element_at("h", F.lit(10)).alias("sample")
     )
-    order = spark.createDataFrame([(i, p.rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "input_ord long, name string")
-    names = names.withColumn("name", F.element_at(F.split("file", "/"), -1)).join(order, "name")
+    order = spark.createDataFrame([(i, _uri_of(p)) for i, p in enumerate(paths)], "input_ord long, uri string")
+    if order.select("uri").distinct().count() < len(paths):
+        raise ValueError("an input is named twice")
+    names = names.withColumn("uri", F.regexp_replace("file", "^file:/+", "/")).join(order, "uri", "full")
+    lost = F.concat(F.lit("no header or no input for "), F.coalesce("uri", F.lit("?")))
+    names = names.where((F.col("file").isNotNull() & F.col("input_ord").isNotNull()) | F.raise_error(lost).cast("boolean"))
     ints = lambda c: F.transform(F.split(c, ","), lambda x: x.try_cast("int"))
     s = F.col("samples")[0]
     num = lambda k: F.try_element_at(s, F.lit(k)).try_cast("int")
@@ -244,7 +262,9 @@ def write_vcf(rows: DataFrame, contigs: DataFrame, path: str, header: Sequence[s
 
 
 def sam_lines(reads: DataFrame) -> DataFrame:
-    tags = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"]))
+    """Reads as SAM lines; tags keep the types of ``tag_types``, text without."""
+    kind = lambda k: F.coalesce(F.try_element_at("tag_types", k), F.lit("Z")) if "tag_types" in reads.columns else F.lit("Z")
+    tags = F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(":"), kind(e["key"]), F.lit(":"), e["value"]))
     star = lambda c: F.when(F.col(c).isNull() | (F.col(c) == ""), F.lit("*")).otherwise(F.col(c))
     base = F.concat_ws(
         "\t", "qname", *[F.col(c).cast("string") for c in ("flag",)], star("contig"), *[F.col(c).cast("string") for c in ("pos", "mapq")], star("cigar"), star("rnext"),

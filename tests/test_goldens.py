@@ -79,7 +79,7 @@ def test_edges_and_best_paths(spark):
     e = K.kmer_edges(reads, ["region"], "runs", 3)
     assert {(r.src, r.dst): r.support for r in e.collect()} == {("ACG", "CGT"): 5, ("CGT", "GTT"): 3, ("CGT", "GTA"): 2}
     ends = spark.createDataFrame([(1, "ACG", "GTT"), (1, "ACG", "GTA")], "region int, source string, sink string")
-    p = K.k_best_paths(e, ends, ["region"], k=4, max_steps=10, checkpoint_every=2).dropDuplicates(["path"]).orderBy("path").collect()
+    p = K.k_best_paths(e, ends, ["region"], k=4, checkpoint_every=2).dropDuplicates(["path"]).orderBy("path").collect()
     assert [(r.path, round(r.score, 6)) for r in p] == [("ACGTA", round(math.log10(0.4), 6)), ("ACGTT", round(math.log10(0.6), 6))]
 
 
@@ -209,7 +209,7 @@ def test_genotype_columns(spark):
     assert r.pairs == [[0, 0], [0, 1], [1, 1], [0, 2], [1, 2], [2, 2]]
     assert r["keys"] == ["GT", "AD", "AB", "PS"]
     assert (r.hom, r.het, r["var"]) == (True, True, True)
-    assert r.shift.pos == 7 and r.shift.ref == "CA" and r.shift.alt == "C"
+    assert r.shift.pos == 8 and r.shift.ref == "AA" and r.shift.alt == "A"
     assert len(r.trim.ref) == 2 and len(r.trim.alt) == 1
 
 
@@ -330,3 +330,34 @@ def test_gates_and_emission(spark):
     with pytest.raises(ValueError):
         e = spark.createDataFrame([], "k string, pos long")
         B.emit(e, e, ["k"], "XYZ")
+
+
+def test_left_shift_as_far_as_it_goes(spark):
+    cases = [  # pos, ref, alt, upstream and the result
+        (200, "AA", "A", "C" + "A" * 100, (100, "AA", "A")), (10, "CAA", "A", "GTAAA", (8, "AAC", "A")), (10, "ACG", "A", "CGCG", (10, "ACG", "A")),
+        (10, "A", "AA", "TTCAA", (8, "A", "AA")), (10, "CAT", "CAAT", "GG", (12, "T", "AT")), (3, "AA", "A", "AA", (1, "AA", "A")),
+    ]
+    df = spark.createDataFrame([(i, *c[:4]) for i, c in enumerate(cases)], "i int, pos int, ref string, alt string, up string")
+    got = df.select("i", G.left_shift(F.col("pos"), F.col("ref"), F.col("alt"), F.col("up")).alias("s")).orderBy("i").collect()
+    assert [tuple(r.s) for r in got] == [c[4] for c in cases]
+    with pytest.raises(Exception):
+        one(spark, s=G.left_shift(F.lit(50), F.lit("AA"), F.lit("A"), F.lit("AAAA")))
+
+
+def test_best_paths_past_any_length_and_round_cycles(spark):
+    n = 60
+    line = [(1, f"a{i:03d}", f"a{i + 1:03d}", 1) for i in range(n)]
+    cycle = [(2, "x", "y", 1), (2, "y", "x", 1), (2, "y", "z", 3)]
+    e = spark.createDataFrame(line + cycle, "region int, src string, dst string, support int")
+    ends = spark.createDataFrame([(1, "a000", f"a{n:03d}"), (2, "x", "z")], "region int, source string, sink string")
+    p = K.k_best_paths(e, ends, ["region"], k=2).orderBy("region", "rank").collect()
+    assert [r.region for r in p] == [1, 2, 2]
+    assert len(p[0].path) == 4 + n and [r.path for r in p[1:]] == ["xyz", "xyxyz"]
+
+
+def test_no_comparison_with_nan_holds(spark):
+    from strandline.operators.filters import hard_filter
+
+    df = spark.createDataFrame([(float("nan"),), (70.0,)], "FS double")
+    rules = [("FS > 60", "high"), ("FS != 5", "other")]
+    assert [r.filters for r in hard_filter(df, rules).collect()] == [["PASS"], ["high", "other"]]

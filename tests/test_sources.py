@@ -121,3 +121,45 @@ def test_interval_text(spark, tmp_path):
     sq, iv = S.read_interval_list(spark, put(tmp_path, "i.list", "@SQ\tSN:chr1\tLN:100\n# note\nchr1\t5\t9\t+\tx\n^chr1:7-7\n"))
     assert [tuple(r) for r in sq.collect()] == [("chr1", 100)]
     assert sorted((r.start, r.end, r.exclude) for r in iv.collect()) == [(5, 9, False), (7, 7, True)]
+
+
+def test_fastq_in_many_splits(spark, tmp_path):
+    quals = ["@@@I", "@III", "+@@I", "IIII"]
+    text = "".join(f"@r{i} d\nACGT\n+\n{quals[i % 4]}\n" for i in range(1500))
+    p = put(tmp_path, "many.fq", text)
+    key, opened = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    old, old_open = spark.conf.get(key), spark.conf.get(opened)
+    try:
+        for size in ("1024", "5003", "4100", "128m"):
+            spark.conf.set(key, size)
+            spark.conf.set(opened, "0")
+            rows = {r.name: r.qual for r in S.read_fastq(spark, p).collect()}
+            assert rows == {f"r{i}": quals[i % 4] for i in range(1500)}
+    finally:
+        spark.conf.set(key, old)
+        spark.conf.set(opened, old_open)
+    with pytest.raises(Exception):
+        S.read_fastq(spark, put(tmp_path, "bad.fq", "@a\nACGT\n+\nIII\n")).collect()
+
+
+def test_cohort_of_equal_names(spark, tmp_path):
+    paths = []
+    for i, folder in enumerate(["s1", "s 2", "s%3"]):
+        (tmp_path / folder).mkdir()
+        paths.append(put(tmp_path / folder, "out.g.vcf", VCF.format(s=f"S{i}", g=90, h=900)))
+    got = S.read_cohort(spark, paths).select("sample", "input_ord").collect()
+    assert sorted(map(tuple, got)) == [("S0", 0), ("S1", 1), ("S2", 2)]
+    with pytest.raises(ValueError):
+        S.read_cohort(spark, [paths[0], paths[0]])
+
+
+def test_tags_keep_their_types(spark, tmp_path):
+    line = "r1\t0\tchr1\t5\t60\t4M\t*\t0\t0\tACGT\tIIII\tXQ:i:40\tXF:f:0.5\tRG:Z:g"
+    _, reads = S.read_sam(spark, put(tmp_path, "t.sam", line + "\n"))
+    assert S.sam_lines(reads).collect()[0].value == line
+
+
+def test_chunks_of_a_contig(spark):
+    fasta = spark.createDataFrame([("c", "ACGTACGTAC")], "name string, seq string")
+    got = [tuple(r) for r in S.reference_chunks(fasta, 4).orderBy("chunk").collect()]
+    assert got == [("c", 0, 1, "ACGT"), ("c", 1, 5, "ACGT"), ("c", 2, 9, "AC")]
