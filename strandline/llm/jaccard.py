@@ -4,9 +4,9 @@ Rows of equal shingle sets are one representative from the start (a grouped mini
 representative has a sketch: the least hash of its set in each of 128 parts of the hash range. In each run, a node of the
 path tree chooses some coordinates of the sketch by its own hash, and every set goes to one child for each chosen
 coordinate, named by its value there: the sampled shared tokens of the chosen-path method. A node with few sets is
-compared by brute force; a node with many is split again. Two sets of similarity J that share a node share a chosen child
+compared by brute force; a node with many is split again, unless most of it stays together. Two sets of similarity J that share a node share a chosen child
 with chance 1 - (1 - J)^b, so a run finds a pair of the threshold with a known chance, and runs are repeated until
-the target recall. A node that depth does not make small (many near copies) is compared in blocks of blocks.
+the target recall. A node that splits do not make small (many near copies) is compared block by block.
 
 Brute force compares sketches and sizes; the margin is five standard deviations. Pairs that pass are verified on their
 whole shingle sets, in cells that hold a bounded number of sets; each pair is verified once. Links join into groups by
@@ -25,11 +25,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import common
@@ -39,7 +40,8 @@ THRESHOLD = 0.8
 PARTS = 128
 BRANCHES = 4  # coordinates that a node chooses
 RECALL = 1 - 1e-7  # of a pair at the threshold
-BUCKET = 64  # sets that a node may hold for brute force; block of larger ones
+BUCKET = 512  # sets that a node may hold for brute force
+BLOCK = 1024  # sets of one block of a node that splitting does not make small
 DEPTH = 3  # splits; nodes that are larger still are compared in blocks
 MARGIN = 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / PARTS)
 
@@ -106,30 +108,33 @@ def runs_for(recall: float, threshold: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
-def children(rows: DataFrame) -> DataFrame:
-    """Rows (node, rep, size, sketch) sent to the node's chosen children."""
+def children(rows: DataFrame, above: Column) -> DataFrame:
+    """Rows (node, rep, size, sketch) sent to the node's chosen children, with the number of sets in the node."""
     picks = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: F.pmod(F.xxhash64(F.col("node"), b), F.lit(PARTS)).cast("int"))
     child = F.transform(F.array_distinct(picks), lambda i: F.xxhash64(F.col("node"), i, F.substring(F.col("sketch"), i * 4 + 1, F.lit(4))))
-    return rows.select(F.explode(child).alias("node"), "rep", "size", "sketch")
+    return rows.select(F.explode(child).alias("node"), "rep", above.cast("long").alias("above"))
 
 
 def buckets(reps: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """Small nodes (node, rep, size, sketch), and those that no split made small."""
-    roots = reps.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "rep", "size", "sketch")
-    now = children(roots.select(F.xxhash64(F.lit("root"), "run").alias("node"), "rep", "size", "sketch"))
-    small = None
-    for depth in range(DEPTH):
-        narrow = common.stored(now.select("node", "rep"), "nodes")
-        counts = common.stored(narrow.groupBy("node").count().where("count > 1"), "node-counts")
-        placed = narrow.join(counts, "node").join(reps.select("rep", "size", "sketch"), "rep")
-        placed = common.stored(placed.select("node", "rep", "size", "sketch", "count"), "placed-nodes")
-        ready = placed.where(F.col("count") <= BUCKET).drop("count")
-        small = ready if small is None else small.unionByName(ready)
-        large = placed.where(F.col("count") > BUCKET).drop("count")
-        if depth == DEPTH - 1 or large.isEmpty():
+    """Small nodes (node, rep, size, sketch), and those that splits do not make small: a child with more than half of a
+    large node's sets holds sets that are alike, and what is large after the last split."""
+    roots = reps.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "rep", "sketch")
+    now = children(roots.select(F.xxhash64(F.lit("root"), "run").alias("node"), "rep", "sketch"), F.lit(None))
+    small, dense = [], []
+    for depth in range(1, DEPTH + 1):
+        narrow = common.stored(now, "nodes")
+        counts = common.stored(narrow.groupBy("node").agg(F.count("*").alias("count"), F.max("above").alias("above")).where("count > 1"), "node-counts")
+        placed = narrow.drop("above").join(counts, "node").join(reps.select("rep", "size", "sketch"), "rep")
+        placed = common.stored(placed.select("node", "rep", "size", "sketch", "count", "above"), "placed-nodes")
+        alike = F.coalesce(F.col("count") * 2 > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        large = F.col("count") > BUCKET
+        small.append(placed.where(~large).select("node", "rep", "size", "sketch"))
+        dense.append(placed.where(large & alike).select("node", "rep", "size", "sketch"))
+        rest = placed.where(large & ~alike)
+        if rest.isEmpty():
             break
-        now = children(large)
-    return small, large
+        now = children(rest, F.col("count"))
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense)
 
 
 def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float) -> np.ndarray:
@@ -172,7 +177,7 @@ PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
 
 def block_cells(large: DataFrame) -> DataFrame:
     """Rows of large nodes dealt to blocks of bounded size, each block sent to the cells it shares with others."""
-    counts = common.stored(large.groupBy("node").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks")), "block-counts")
+    counts = common.stored(large.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "block-counts")
     rows = common.stored(large, "large-nodes").join(counts, "node").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)

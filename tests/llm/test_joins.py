@@ -48,6 +48,7 @@ def test_jaccard_as_brute_force(docs, rows, none):
 
 def test_large_groups_are_split_and_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BUCKET", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
     rng = random.Random(3)
     base = [f"b{i}" for i in range(120)]
     rows = []
