@@ -166,9 +166,12 @@ READS = f"""rd0 AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln,
 
 
 def reference_chunks(spark: SparkSession, sf: str, chunk: int = 256) -> DataFrame:
-    """The reference the reads were drawn from: one row per supplier and chunk of positions 1…3072."""
+    """The reference the reads were drawn from: one row per supplier and chunk, up to the last position of a read."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
-    c = s.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3072 // chunk - 1).cast("long"))))
+    reach = F.max(day("l_shipdate") + F.col("l_quantity").cast("long")) - BASE_DAY + 64
+    last = table(spark, sf, "lineitem").agg(F.greatest(reach, F.lit(1).cast("long")).alias("last"))
+    c = s.crossJoin(F.broadcast(last))  # one row
+    c = c.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / chunk))))
     pos = F.sequence(F.col("chunk") * chunk + 1, (F.col("chunk") + 1) * chunk)
     bases = F.array_join(
         F.transform(pos, lambda p: F.substring(F.lit("ACGT"), (ref_index(F.col("k"), p) + 1).cast("int"), F.lit(1))), ""

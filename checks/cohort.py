@@ -272,7 +272,9 @@ def _(spark, sf):
 
 @query("single_sample_none")
 def _(spark, sf):
-    """P(no variant) of one sample over a reference, a SNP and a spanning deletion, per (quantity, discount)."""
-    a = _arrays(spark, sf).groupBy("q", "d").agg(F.min(F.slice("pl", 1, 6)).alias("pl"))
-    v = E.single_sample_log10_none(F.col("pl"), F.array(F.lit("A"), F.lit("C"), F.lit("*")))
-    return a.select("q", "d", F.round(v, 6).alias("log10_none"))
+    """P(no variant) of one sample over a reference, a SNP, a spanning deletion and a symbol, per line item. Equal
+    likelihoods are computed once."""
+    a = _arrays(spark, sf)
+    alleles = F.array(*[F.lit(x) for x in ("A", "C", "*", G.NON_REF)])
+    each = a.select("pl").distinct().select("pl", E.single_sample_log10_none(F.col("pl"), alleles).alias("v"))
+    return a.join(each, "pl").select("ok", "ln", F.round("v", 6).alias("log10_none"))

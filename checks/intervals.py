@@ -65,7 +65,7 @@ def _contigs(spark, sf):
 @query(
     "pad_merge_shards",
     f"""WITH {SHIPMENTS}, {_CONTIGS}, clipped AS (SELECT k, "start", least("end", length) AS "end"
-      FROM shipments JOIN contigs USING (k) WHERE flag = 'R'),
+      FROM shipments JOIN contigs USING (k)),
     {merged_sql('clipped', 'k', 'u')},
     p AS (SELECT k, greatest(1, "start" - 10) AS "start", least(length, "end" + 10) AS "end" FROM u JOIN contigs USING (k)),
     {merged_sql('p', 'k', 'pm')}
@@ -73,7 +73,7 @@ def _contigs(spark, sf):
 )
 def _(spark, sf):
     c = _contigs(spark, sf)
-    s = shipments(spark, sf).where("flag = 'R'").join(c, "k")
+    s = shipments(spark, sf).join(c, "k")
     s = s.select("k", "start", F.least("end", "length").alias("end"))
     return I.make_shards(s, c, "k", pad=10)
 

@@ -107,7 +107,7 @@ def _(spark, sf):
 @query("vote_correction")
 def _(spark, sf):
     o = observations(spark, sf).withColumn("read_id", F.concat_ws(":", "qname", "k"))
-    return P.correct_by_vote(o.where("qual > 0"), ["k", "pos"])
+    return P.correct_by_vote(o, ["k", "pos"])
 
 
 @query(

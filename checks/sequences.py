@@ -76,10 +76,10 @@ def _(spark, sf):
     return dna(spark, sf).select("doc_id", K.longest_homopolymer(F.col("seq")).cast("long").alias("longest"))
 
 
-@query("repeat_quality_cap", "SELECT p_partkey AS pk, CAST(greatest(10, floor(41 - exp(least(p_size, 20) / (3 * pi())) + 0.5)) AS BIGINT) AS cap FROM part")
+@query("repeat_quality_cap", "SELECT p_partkey AS pk, CAST(greatest(10, floor(41 - exp(p_size / (3 * pi())) + 0.5)) AS BIGINT) AS cap FROM part")
 def _(spark, sf):
     p = table(spark, sf, "part")
-    return p.select(F.col("p_partkey").alias("pk"), K.repeat_quality_cap(F.least("p_size", F.lit(20))).cast("long").alias("cap"))
+    return p.select(F.col("p_partkey").alias("pk"), K.repeat_quality_cap(F.col("p_size")).cast("long").alias("cap"))
 
 
 # --- scores: each read against its chunk's reference and a variant of it ---
@@ -131,12 +131,17 @@ def _(spark, sf):
     return S.informative_depth(alleles, ["region"], threshold=0.2000001)
 
 
-@query("genotype_likelihoods", f"""WITH {_CHEAP}, {_DISTINCT}, p AS (SELECT region, read_id, max(score) FILTER (cand_id = 0) AS a, max(score) FILTER (cand_id = 1) AS b FROM ds GROUP BY ALL)
-  SELECT region, round(sum(a), 5) AS g0, round(sum(greatest(a, b) + CASE WHEN abs(a - b) < 8 THEN log10(1 + pow(10, -floor(abs(a - b) * 10000.0 + 0.5) / 10000.0)) ELSE 0 END + log10(0.5)), 5) AS g1, round(sum(b), 5) AS g2 FROM p GROUP BY region""")
+def _pair(a, b):
+    return (f"round(sum(greatest({a}, {b}) + CASE WHEN abs({a} - {b}) < 8 THEN log10(1 + pow(10, -floor(abs({a} - {b}) * 10000.0 + 0.5) / 10000.0)) ELSE 0 END"
+            " + log10(0.5)), 5)")
+
+
+@query("genotype_likelihoods", f"""WITH {_CHEAP}, {_DISTINCT}, p AS (SELECT region, read_id, max(score) FILTER (cand_id = 0) AS a, max(score) FILTER (cand_id = 1) AS b,
+    max(score) FILTER (cand_id = 2) AS c FROM ds GROUP BY ALL)
+  SELECT region, round(sum(a), 5) AS g0, {_pair('a', 'b')} AS g1, round(sum(b), 5) AS g2, {_pair('a', 'c')} AS g3, {_pair('b', 'c')} AS g4, round(sum(c), 5) AS g5 FROM p GROUP BY region""")
 def _(spark, sf):
-    a = _cheap(spark, sf).where("cand_id < 2").withColumnRenamed("cand_id", "allele")
-    g = S.genotype_likelihoods(a, ["region"], 2)
-    return g.select("region", *[F.round(F.col("gl")[i], 5).alias(f"g{i}") for i in range(3)])
+    g = S.genotype_likelihoods(_cheap(spark, sf).withColumnRenamed("cand_id", "allele"), ["region"], 3)
+    return g.select("region", *[F.round(F.col("gl")[i], 5).alias(f"g{i}") for i in range(6)])
 
 
 # --- callsets: labels as truth, a length rule as calls ---

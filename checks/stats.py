@@ -149,13 +149,13 @@ def _(spark, sf):
 
 @query(
     "base_histogram_intervals",
-    f"""WITH {SHIPMENTS}, d AS (SELECT DISTINCT k, unnest(generate_series("start", "end")) - 9000 AS p FROM shipments WHERE flag = 'A'),
+    f"""WITH {SHIPMENTS}, d AS (SELECT DISTINCT k, unnest(generate_series("start", "end")) - 9000 AS p FROM shipments),
     b AS (SELECT {sql_ref_base('k', 'p')} AS base FROM d) SELECT base, count(*) AS n FROM b GROUP BY 1 UNION ALL SELECT 'N', 0""",
 )
 def _(spark, sf):
     from strandline.operators.pileup import bases_in_intervals
 
-    s = shipments(spark, sf).where("flag = 'A'").select("k", (F.col("start") - 9000).alias("start"), (F.col("end") - 9000).alias("end"))
+    s = shipments(spark, sf).select("k", (F.col("start") - 9000).alias("start"), (F.col("end") - 9000).alias("end"))
     return S.base_histogram(bases_in_intervals(s, reference_chunks(spark, sf), ["k"], 256), "bases")
 
 
