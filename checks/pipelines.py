@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.bases import reads, reference_chunks
+from checks.bases import READS, reads, reference_chunks
 from checks.pileups import OBS
 from checks.registry import query
 from strandline.functions.cigar import reference_span
@@ -54,7 +54,12 @@ def _(spark, sf):
     return P.confidence_blocks(r, ref, spans, chunk_size=256, bands=[20, 60, 99])
 
 
-@query("reads_by_region")
+@query(
+    "reads_by_region",
+    f"""WITH {READS}, s AS (SELECT k, pos AS a, pos + CASE shape WHEN 0 THEN n WHEN 1 THEN n - 2 WHEN 2 THEN n + 2 ELSE n - 1 END - 1 AS b FROM reads),
+    sp AS (SELECT k, min(pos) AS lo, max(pos) AS hi FROM reads GROUP BY k), t AS (SELECT k, hi, unnest(generate_series(lo, hi, 100)) AS lo FROM sp)
+    SELECT t.k AS contig, t.lo - 10 AS padded_start, count(*) AS n FROM t JOIN s ON s.k = t.k AND s.a <= least(t.lo + 99, t.hi) + 10 AND s.b >= t.lo - 10 GROUP BY ALL""",
+)
 def _(spark, sf):
     """Reads per active region over whole contigs; the regions come from fixed tiles of each supplier."""
     r, _, spans = _inputs(spark, sf)
