@@ -4,7 +4,8 @@ Rows of equal shingle sets are one representative from the start (a grouped mini
 representative has a sketch: the least hash of its set in each of 128 parts of the hash range. In each run, a node of the
 path tree chooses some coordinates of the sketch by its own hash, and every set goes to one child for each chosen
 coordinate, named by its value there: the sampled shared tokens of the chosen-path method. A node with few sets is
-compared by brute force; a node with many is split again, unless most of it stays together. Two sets of similarity J that share a node share a chosen child
+compared by brute force; a node with many is split again, unless most of it stays together. A pair is compared in the
+first small root node that it shares, and elsewhere only if it shares none. Two sets of similarity J that share a node share a chosen child
 with chance 1 - (1 - J)^b, so a run finds a pair of the threshold with a known chance, and runs are repeated until
 the target recall. A node that splits do not make small (many near copies) is compared block by block.
 
@@ -12,7 +13,7 @@ Brute force compares sketches and sizes; the margin is five standard deviations.
 whole shingle sets, in cells that hold a bounded number of sets; each pair is verified once. Links join into groups by
 the least id, iterated over tables of links between representatives.
 
-What is shuffled: one narrow row a representative and chosen node, sketches of sets in nodes of two or more, and the
+What is shuffled: one narrow row a representative and chosen node, a byte a coordinate of sets in nodes of two or more, and the
 texts of representatives with a candidate. Nothing is collected to the driver but one count a round.
 
 Words are runs of other characters than white space, in lower case. A text of fewer words than a shingle has one shingle,
@@ -108,37 +109,90 @@ def runs_for(recall: float, threshold: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - found)))
 
 
-def children(rows: DataFrame, above: Column) -> DataFrame:
-    """Rows (node, rep, size, sketch) sent to the node's chosen children, with the number of sets in the node."""
+def chosen(seed: int) -> list[int]:
+    """The coordinates that the root of a run chooses."""
+    return [int(i) for i in np.random.default_rng(seed).permutation(PARTS)[:BRANCHES]]
+
+
+def value_at(i: Column | int) -> Column:
+    return F.substring(F.col("sketch"), (F.lit(i) if isinstance(i, int) else i) * 4 + 1, F.lit(4))
+
+
+def root_nodes(reps: DataFrame, runs: int) -> DataFrame:
+    """Rows (node, slot, rep): each set's child of the root in every run. Slots number the roots' chosen coordinates."""
+    slots = [i for run in range(runs) for i in chosen(run)]
+    nodes = F.array(*[F.struct(F.lit(n).alias("slot"), F.xxhash64(F.lit(n), value_at(i)).alias("node")) for n, i in enumerate(slots)])
+    return reps.select("rep", F.explode(nodes).alias("x")).select("x.node", "x.slot", "rep", F.lit(None).cast("long").alias("above"))
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """Rows (node, rep) sent to the chosen children of large nodes, with the number of sets in the node."""
     picks = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda b: F.pmod(F.xxhash64(F.col("node"), b), F.lit(PARTS)).cast("int"))
-    child = F.transform(F.array_distinct(picks), lambda i: F.xxhash64(F.col("node"), i, F.substring(F.col("sketch"), i * 4 + 1, F.lit(4))))
-    return rows.select(F.explode(child).alias("node"), "rep", above.cast("long").alias("above"))
+    child = F.transform(F.array_distinct(picks), lambda i: F.xxhash64(F.col("node"), i, value_at(i)))
+    return rows.select(F.explode(child).alias("node"), F.lit(-1).alias("slot"), "rep", F.col("count").alias("above"))
 
 
 def buckets(reps: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """Small nodes (node, rep, size, sketch), and those that splits do not make small: a child with more than half of a
-    large node's sets holds sets that are alike, and what is large after the last split."""
-    roots = reps.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "rep", "sketch")
-    now = children(roots.select(F.xxhash64(F.lit("root"), "run").alias("node"), "rep", "sketch"), F.lit(None))
-    small, dense = [], []
+    """Small nodes (node, slot, rep, size, marks, roots), and those that splits do not make small: a child with more than
+    half of a large node's sets holds sets that are alike, and what is large after the last split.
+
+    ``marks`` has a byte of each coordinate, enough for the estimate. ``roots`` has the set's node in each slot where that
+    node is small, else 0: two sets that share one are compared there, and nowhere else again.
+    """
+    n_slots = runs * BRANCHES
+    now, small, dense, shared = root_nodes(reps, runs), [], [], None
     for depth in range(1, DEPTH + 1):
         narrow = common.stored(now, "nodes")
         counts = common.stored(narrow.groupBy("node").agg(F.count("*").alias("count"), F.max("above").alias("above")).where("count > 1"), "node-counts")
-        placed = narrow.drop("above").join(counts, "node").join(reps.select("rep", "size", "sketch"), "rep")
-        placed = common.stored(placed.select("node", "rep", "size", "sketch", "count", "above"), "placed-nodes")
-        alike = F.coalesce(F.col("count") * 2 > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        placed = common.stored(narrow.drop("above").join(counts, "node"), "placed-nodes")
         large = F.col("count") > BUCKET
-        small.append(placed.where(~large).select("node", "rep", "size", "sketch"))
-        dense.append(placed.where(large & alike).select("node", "rep", "size", "sketch"))
+        if depth == 1:
+            here = [F.coalesce(F.max(F.when(F.col("slot") == n, F.col("node"))), F.lit(0)) for n in range(n_slots)]
+            roots = placed.where(~large).groupBy("rep").agg(F.array(*here).alias("roots"))
+            held = placed.select("rep").distinct().join(reps.select("rep", "size", marks_of(F.col("sketch")).alias("marks")), "rep").join(roots, "rep", "left")
+            shared = common.stored(held, "compared-sets")
+        alike = F.coalesce(F.col("count") * 2 > F.col("above"), F.lit(False)) | F.lit(depth == DEPTH)
+        small.append(placed.where(~large).select("node", "slot", "rep"))
+        dense.append(placed.where(large & alike).select("node", "rep"))
         rest = placed.where(large & ~alike)
         if rest.isEmpty():
             break
-        now = children(rest, F.col("count"))
-    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense)
+        now = children(rest.select("node", "rep", "count").join(reps.select("rep", "sketch"), "rep"))
+    return reduce(DataFrame.unionByName, small).join(shared, "rep"), reduce(DataFrame.unionByName, dense).join(shared, "rep")
+
+
+def marks_of(sketch: Column) -> Column:
+    """The last byte of each coordinate."""
+    return F.unhex(F.regexp_replace(F.hex(sketch), "(..)......", "$1"))
+
+
+class Compared:
+    """Sets of one cell as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.reps, self.sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
+        self.marks = np.frombuffer(b"".join(table.column("marks").to_pylist()), np.uint8).reshape(-1, PARTS)
+        roots = [r or [] for r in table.column("roots").to_pylist()]
+        self.roots = np.zeros((len(roots), max(map(len, roots), default=0)), np.int64)
+        for i, r in enumerate(roots):
+            self.roots[i, : len(r)] = r
+
+    def links(self, one: np.ndarray, two: np.ndarray, slot: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of the two lists that may reach the threshold and share no small root before the slot (with
+        slot -1: none at all)."""
+        first, second = np.nonzero(likely(self.marks[one], self.marks[two], self.sizes[one], self.sizes[two], threshold))
+        x, y = one[first], two[second]
+        before = slice(None) if slot < 0 else slice(0, slot)
+        met = ((self.roots[x, before] == self.roots[y, before]) & (self.roots[x, before] != 0)).any(axis=1)
+        return x[~met], y[~met]
+
+    def table(self, x: np.ndarray, y: np.ndarray, cell: int) -> pa.Table:
+        a, b = np.minimum(self.reps[x], self.reps[y]), np.maximum(self.reps[x], self.reps[y])
+        return pa.table({"a": a, "b": b, "cell": np.full(len(a), cell, np.int64)}, schema=PAIRS)
 
 
 def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, threshold: float) -> np.ndarray:
-    """Which rows of two sketch matrices may reach the threshold."""
+    """Which rows of two matrices of marks may reach the threshold."""
     agree = np.zeros((len(a), len(b)), np.float32)
     for i in range(len(a)):
         agree[i] = (a[i] == b).mean(axis=1)
@@ -149,27 +203,18 @@ def likely(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
 
 
 def compare_small(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
-    table = table.sort_by("rep")
-    reps, sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
-    matrix = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, PARTS)
-    first, second = np.nonzero(np.triu(likely(matrix, matrix, sizes, sizes, threshold), 1))
-    differ = reps[first] != reps[second]
-    first, second = first[differ], second[differ]
-    return pa.table({"a": reps[first], "b": reps[second], "cell": np.full(len(first), key[0].as_py(), np.int64)}, schema=PAIRS)
+    held, every = Compared(table), np.arange(table.num_rows)
+    x, y = held.links(every, every, table.column("slot")[0].as_py(), threshold)
+    return held.table(x[x < y], y[x < y], key[0].as_py())
 
 
 def compare_blocks(key: tuple, table: pa.Table, threshold: float) -> pa.Table:
-    """One pair of blocks of a large node: rows of the one against rows of the other."""
-    side = table.column("side").to_numpy()
-    reps, sizes = table.column("rep").to_numpy(), table.column("size").to_numpy()
-    matrix = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, PARTS)
+    """One pair of blocks of a large node: rows of the one against rows of the other, or one block with itself."""
+    held, side = Compared(table), table.column("side").to_numpy()
     one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    two = one if not len(two) else two
-    x, y = np.nonzero(likely(matrix[one], matrix[two], sizes[one], sizes[two], threshold))
-    first, second = reps[one[x]], reps[two[y]]
-    differ = first < second if two is one else first != second
-    first, second = np.minimum(first, second)[differ], np.maximum(first, second)[differ]
-    return pa.table({"a": first, "b": second, "cell": np.full(len(first), key[0].as_py(), np.int64)}, schema=PAIRS)
+    x, y = held.links(one, two if len(two) else one, -1, threshold)
+    keep = slice(None) if len(two) else x < y
+    return held.table(x[keep], y[keep], key[0].as_py())
 
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("cell", pa.int64())])
@@ -182,7 +227,7 @@ def block_cells(large: DataFrame) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("other", other)
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    return rows.select(F.xxhash64("node", low, high).alias("cell"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "rep", "size", "sketch")
+    return rows.select(F.xxhash64("node", low, high).alias("cell"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "rep", "size", "marks", "roots")
 
 
 def candidates(reps: DataFrame, threshold: float, recall: float) -> DataFrame:
