@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 BLOCK_CHARS = 32_000_000  # text that one block of documents holds before it is passed on; results do not depend on it
 LONG_WORD = 192  # bytes; longer words are merged with a heap, since the fold's cost is quadratic in the word
-BUCKETS = 32_768  # entries of the literal rank table
+BUCKETS = 32_768  # entries of the literal rank table, a power of two
 NONE = "\uffff"  # stands between entries, and for two neighbours that make no token: above all symbols
 
 
@@ -72,7 +72,7 @@ def fold_merges(table: Column, word: Column) -> Column:
 
     def merged_symbol(pair: Column) -> Column:
         """The symbol that two make, else NONE: what follows the pair in its bucket, else the bucket's own beginning."""
-        entries = F.get(table, (F.crc32(pair.cast("binary")) % BUCKETS).cast("int"))
+        entries = F.get(table, F.crc32(pair.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int"))
         return F.substring(F.call_function("substring_index", entries, F.concat(F.lit(NONE), pair), F.lit(-1)), 1, 1)
 
     def step(now: Column, _: Column) -> Column:
