@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,8 +21,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = "file://" + tempfile.mkdtemp(prefix="spark-strandline-")
-    if "://" not in base and base.startswith("/"):
-        base = "file://" + base
+    # A path without a scheme is one of the cluster's default file system.
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    base = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().toString()
+    base = re.sub("^file:/+", "file:///", base)
     return f"{base.rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
 
 
