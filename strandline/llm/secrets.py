@@ -7,6 +7,11 @@ and the one that leaves; the sum of c log2 c is kept in whole millionths of a bi
 windows at or above the class's threshold gives the stretch from the first such window to the last. Candidates
 that the allow-list matches, and stretches inside a span found before, are left out. Spans of patterns always stay.
 
+A class's threshold is the 1 % quantile of the entropy of a window of characters drawn uniformly from the smallest alphabet that
+the class is there for (62, 32, 32 and 16 symbols), so that a random token is found whatever its alphabet. Ordinary
+words are kept out by the allow-list alone: a token whose letters happen to look like words (one case throughout and no
+digit) is left out with them.
+
 Narrow: no shuffle; cheap tests keep the folds to texts that hold a candidate. Nulls: a null text is empty. Repeated rows
 each have their result; texts of any length are whole; an empty table gives an empty result; columns are carried along
 by :func:`redact` and added names begin with two underscores.
@@ -22,14 +27,19 @@ from pyspark.sql import functions as F
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # of 20 characters or more; a run is taken from its first AKIA on
 HEX = r"[0-9a-f]{24,}"
-KINDS = ("assign", "access", "hex", "entropy64", "entropy16")
+KINDS = ("assign", "access", "hex", "entropy64", "entropy16", "entropy36", "entropy32")
 WINDOW = 20
 # Per class: characters, and the least entropy of a window in bits.
-CLASSES = {"entropy64": ("A-Za-z0-9+/_=-", 3.9), "entropy16": ("0-9a-fA-F", 3.2)}
-# Candidates that are no secrets: letters alone, digits alone, one character throughout, alphabets, identifiers of the
-# UUID form, examples of documentation.
+CLASSES = {
+    "entropy64": ("A-Za-z0-9+/_=-", 3.64), "entropy16": ("0-9a-fA-F", 2.9), "entropy36": ("a-z0-9", 3.34), "entropy32": ("A-Z0-9", 3.34),
+}
+# In words joined by signs, as of paths and names, no digit stands before a letter, numbers after letters are short, and
+# letters change case as in CamelCase. One lookahead, since repeated groups would use the stack by the length of the text.
+WORDS = r"^(?!.*(?:[0-9][A-Za-z]|[A-Za-z][0-9]{5}|[A-Za-z]{16}[0-9]|[A-Z][a-z][A-Z]|[a-z][A-Z]{5}))"
+# Candidates that are no secrets: words, digits alone, one character throughout, alphabets, identifiers of the UUID form,
+# examples of documentation.
 ALLOWED = (
-    r"^[A-Za-z]+$", r"^[0-9]+$", r"^(.)\1*$", r"(?i)abcdefghijklmnop|0123456789abcdef",
+    WORDS, r"^[0-9]+$", r"^(.)\1*$", r"(?i)abcdefghijklmnop|0123456789abcdef",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|changeme",
 )
 MICRO = 1_000_000
@@ -108,6 +118,15 @@ def outside(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: (o["start"] <= s["start"]) & (s["end"] <= o["end"])))
 
 
+def added(spans: Column, names: list[str], held: Column) -> Column:
+    """Spans of the classes in their order, without those inside a pattern's span or one of a class before. Each class's
+    result is bound: named columns would be put in again wherever they are read."""
+    if not names:
+        return held
+    fresh = outside(outside(spans[names[0]], spans["base"]), held)
+    return bound(F.concat(held, fresh), lambda now: added(spans, names[1:], now))
+
+
 def written(spans: Column) -> Column:
     """kind:start:end by start, then kind as listed, joined with commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
@@ -126,9 +145,8 @@ def scan(df: DataFrame, text_col: str) -> DataFrame:
     access = matches(text, ACCESS, 1, text.contains("AKIA"))
     hexes = matches(text, HEX, 2, text.rlike("[0-9a-f]{24}"))
     rows = df.withColumn("__base", F.concat(assign, access, hexes))
-    rows = rows.withColumn("__wide", outside(entropy_spans(text, 3, *CLASSES["entropy64"]), F.col("__base")))
-    narrow = outside(outside(entropy_spans(text, 4, *CLASSES["entropy16"]), F.col("__base")), F.col("__wide"))
-    return rows.withColumn("__added", F.concat("__wide", narrow)).drop("__wide")
+    found = F.struct(F.col("__base").alias("base"), *[entropy_spans(text, KINDS.index(k), *c).alias(k) for k, c in CLASSES.items()])
+    return rows.withColumn("__added", bound(found, lambda spans: added(spans, list(CLASSES), F.expr(NOTHING))))
 
 
 def redact(df: DataFrame, text_col: str, mark: str = "[SECRET]") -> DataFrame:

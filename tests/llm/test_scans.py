@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -74,6 +75,30 @@ def test_secrets_digest_and_redaction(leaks, docs, none, tmp_path):
     assert secrets.scan(none, "text").collect() == []
 
 
+@pytest.mark.parametrize(("letters", "size"), [
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 20), ("abcdefghijklmnopqrstuvwxyz0123456789", 40), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 20),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20),
+    ("0123456789ABCDEF", 20), ("0123456789abcdef", 20), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 24),
+])
+def test_secrets_random_tokens_of_each_alphabet(spark, letters, size):
+    rng = random.Random(11)
+    tokens = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(1000)]
+    df = spark.createDataFrame([(i, f"words before {t} and after") for i, t in enumerate(tokens)], "doc_id long, text string")
+    left = {w for r in secrets.redact(df, "text").collect() for w in r.text.split()}
+    missed = [t for t in tokens if t in left]
+    assert len(missed) <= 45, missed[:5]
+
+
+def test_secrets_leaves_words(spark):
+    texts = [
+        "Donaudampfschifffahrtsgesellschaft and internationalizationandlocalization", "see /usr/share/doc/python-package/README_first/index_page",
+        "articles/2024/11/28/how-to-build-a-better-mousetrap-quickly", "AbstractSingletonProxyFactoryBean MAX_CONNECTION_POOL_SIZE_BYTES",
+        "2024-11-28_2024-12-31_quarter4-results", "2" * 22 + " " + "1234567890" * 2, "==============================",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.text for r in secrets.redact(df, "text").orderBy("doc_id").collect()] == texts
+
+
 def test_secrets_plan_is_native(leaks):
     plan = secrets.scan(leaks, "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
