@@ -5,8 +5,10 @@ the least length holds one, at the same word in every document that has the pass
 document holds are left out by a grouped minimum and maximum. The others carry their words to the right and to the left as
 hashes, are sorted over the whole cluster by their words to the right, and neighbours of different documents are compared:
 the common words to the right and then to the left. Where both together reach the least length, the stretch is marked
-in both documents. Sorting by ranges with the document as the last key splits a passage that a great share of
-documents hold; each row is compared with two neighbours, whatever the size of a group. Pairs are never listed.
+in both documents. Neighbours are enough where an 8-gram has two suffixes. Where it has more, the partner with the
+longest stretch may stand further off, so every window of the least length whose minimiser such an 8-gram is goes by its
+hash (64 bits) instead: the least and the greatest document of a hash, combined on the map side, tell whether two hold it.
+Each shared window has its minimiser in both documents, so all are found, in groups of any size. Pairs are never listed.
 
 Rows at the edges of sorted partitions are compared in a second, small job over a few rows a partition.
 
@@ -49,15 +51,29 @@ def gram_hashes(words: np.ndarray, width: int = GRAM) -> np.ndarray:
     return out
 
 
-def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
-    """Places of the least gram of every window, the first of equals."""
+def least_places(grams: np.ndarray, window: int) -> np.ndarray:
+    """The place of the least gram of every window, the first of equals."""
     if len(grams) < window:
         return np.zeros(0, np.int64)
     out = []
     for at in range(0, len(grams) - window + 1, 1 << 16):  # bounds the memory of a long text
         view = np.lib.stride_tricks.sliding_window_view(grams[at : at + (1 << 16) + window - 1], window)
-        out.append(np.unique(view.argmin(axis=1) + np.arange(len(view))) + at)
-    return np.unique(np.concatenate(out))
+        out.append(view.argmin(axis=1) + np.arange(len(view)) + at)
+    return np.concatenate(out)
+
+
+def minimisers(grams: np.ndarray, window: int) -> np.ndarray:
+    return np.unique(least_places(grams, window))
+
+
+def window_hashes(grams: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Hashes of the windows of ``least`` words from ``starts`` on, of the grams that cover them."""
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in [*range(0, least - GRAM, GRAM), least - GRAM]:
+            out = (out ^ grams[starts + i]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,25 +105,37 @@ def suffixes(docs: DataFrame, least: int) -> DataFrame:
 
 
 def shared_places(found: DataFrame) -> DataFrame:
-    """Per document: the places of suffixes whose gram another document holds too."""
-    keys = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("key")
+    """Per document: the places of suffixes whose gram another document holds too; apart, those of more than two suffixes."""
+    keys = found.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
+    keys = keys.where("least <> most").select("key", (F.col("n") > 2).alias("crowded"))
     shared = found.join(common.stored(keys, "shared-grams"), "key")
-    return common.stored(shared.groupBy("doc").agg(F.collect_set("pos").alias("places")), "shared-places")
+    places = [F.collect_set(F.when(c, F.col("pos"))).alias(name) for c, name in ((~F.col("crowded"), "places"), (F.col("crowded"), "crowded"))]
+    return common.stored(shared.groupBy("doc").agg(*places), "shared-places")
 
 
 def contexts(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """A row for each shared suffix: its key, its words to the right and to the left as hashes, and how many there are."""
+    """A row for each suffix shared by two: its key, its words to the right and to the left as hashes, and how many there
+    are. A row for each document with suffixes that more share: hashes and starts of the windows around them."""
     right, left = least, least - GRAM
     schema = pa.schema([
         ("key", pa.int64()), ("right", pa.binary()), ("left", pa.binary()), ("doc", pa.int64()), ("pos", pa.int32()), ("n_words", pa.int32()), ("doc_id", pa.int64()),
+        ("windows", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())),
     ])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches_of(batches, "text", BLOCK):
             out = {name: [] for name in schema.names}
-            for doc, doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, doc_id, text, at, crowded in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words, at = word_hashes(text), np.sort(np.array(at, np.int64))
                 n = len(words)
+                if crowded:
+                    grams = gram_hashes(words)
+                    starts = np.flatnonzero(np.isin(least_places(grams, least - GRAM + 1), np.array(crowded, np.int64)))
+                    row = {"doc": doc, "doc_id": doc_id, "windows": window_hashes(grams, starts, least).view(np.int64), "starts": starts.astype(np.int32)}
+                    for name in schema.names:
+                        out[name].append(row.get(name))
+                if not len(at):
+                    continue
                 short = np.concatenate([np.zeros(left, np.uint64), words, np.zeros(right, np.uint64)]).astype(np.uint32).byteswap()
                 key = gram_hashes(words)[at].view(np.int64)
                 after = short[(at + left)[:, None] + np.arange(GRAM, right)]
@@ -118,10 +146,20 @@ def contexts(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
                 out["pos"] += at.tolist()
                 for name, value in (("doc", doc), ("n_words", n), ("doc_id", doc_id)):
                     out[name] += [value] * len(at)
+                for name in ("windows", "starts"):
+                    out[name] += [None] * len(at)
             yield pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
-    rows = docs.join(places, "doc").select("doc", "doc_id", "text", "places")
-    return rows.mapInArrow(read, "key long, right binary, left binary, doc long, pos int, n_words int, doc_id long")
+    rows = docs.join(places, "doc").select("doc", "doc_id", "text", "places", "crowded")
+    return rows.mapInArrow(read, "key long, right binary, left binary, doc long, pos int, n_words int, doc_id long, windows array<long>, starts array<int>")
+
+
+def shared_windows(found: DataFrame, least: int) -> DataFrame:
+    """Marks (doc, doc_id, start, end) of the windows that two documents hold."""
+    each = found.where("windows is not null").select("doc", "doc_id", F.explode(F.arrays_zip("windows", "starts")).alias("w"))
+    each = each.select(F.col("w.windows").alias("window"), "doc", "doc_id", F.col("w.starts").cast("long").alias("start"))
+    twice = each.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("window")
+    return each.join(common.stored(twice, "shared-windows"), "window").select("doc", "doc_id", "start", (F.col("start") + least).alias("end"))
 
 
 class Suffixes:
@@ -235,17 +273,40 @@ def find(df: DataFrame, id_col: str, text_col: str, least: int = LEAST) -> DataF
     merged), n_words (of the spans)."""
     docs = documents_of(df, id_col, text_col)
     places = shared_places(common.stored(suffixes(docs, least), "suffixes"))
-    rows = contexts(docs, places, least).repartitionByRange("key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
+    found = common.stored(contexts(docs, places, least), "contexts")
+    rows = found.where("windows is null").drop("windows", "starts")
+    rows = rows.repartitionByRange("key", "right", "left", "doc", "pos").sortWithinPartitions("key", "right", "left", "doc", "pos")
     marks = common.stored(compare_sorted(rows, least), "marks")
     marks = marks.where("edge is null").unionByName(compare_edges(marks.where("edge is not null").select("part", "edge"), least))
-    spans = F.array_sort(F.collect_set(F.struct("start", "end")))
-    merged = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
-        lambda out, s: F.when((F.size(out) > 0) & (s["start"] <= F.try_element_at(out, F.lit(-1))["end"]), F.concat(
-            F.slice(out, F.lit(1), F.size(out) - 1),
-            F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end"))),
-        )).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    by_doc = marks.groupBy("doc").agg(F.first("doc_id").alias("doc_id"), spans.alias("spans")).withColumn("spans", merged)
-    n_words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return by_doc.select("doc_id", "spans", n_words.alias("n_words"))
+    marks = marks.select("doc", "doc_id", "start", "end").unionByName(shared_windows(found, least))
+    return merged(marks)
+
+
+def merged(marks: DataFrame) -> DataFrame:
+    """One row a document: its marks joined where they meet. Sorted rows in one pass; a task holds one document's spans."""
+    schema = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("n_words", pa.int64())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, now_id, spans = None, None, []
+        for batch in batches:
+            out = []
+            for doc, doc_id, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if spans and doc == now:
+                    if start > spans[-1]["end"]:
+                        spans.append({"start": start, "end": end})
+                    elif end > spans[-1]["end"]:
+                        spans[-1]["end"] = end
+                    continue
+                if spans:
+                    out.append(row_of(now_id, spans))
+                now, now_id, spans = doc, doc_id, [{"start": start, "end": end}]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        if spans:
+            yield pa.RecordBatch.from_pylist([row_of(now_id, spans)], schema=schema)
+
+    rows = marks.repartition("doc").sortWithinPartitions("doc", "start")
+    return rows.mapInArrow(read, "doc_id long, spans array<struct<start: long, end: long>>, n_words long")
+
+
+def row_of(doc_id: int | None, spans: list[dict]) -> dict:
+    return {"doc_id": doc_id, "spans": spans, "n_words": sum(s["end"] - s["start"] for s in spans)}

@@ -102,6 +102,26 @@ def test_repeats_as_brute_force(docs, rows, none, block, monkeypatch):
     assert repeats.find(none, "doc_id", "text").collect() == []
 
 
+def test_repeats_in_large_groups_of_near_copies(spark):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = [(i, " ".join(f"e{rng.randrange(10**9)}" if rng.random() < 0.05 else w for w in base)) for i in range(400)]
+    texts = dict(rows)
+    holders = defaultdict(set)
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            holders[tuple(w[k : k + 50])].add(i)
+    want = {}
+    for i, t in texts.items():
+        w = t.split()
+        marked = {k + j for k in range(len(w) - 49) if len(holders[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+        if marked:
+            want[i] = marked
+    got = {r.doc_id: {j for a, b in r.spans for j in range(a, b)} for r in repeats.find(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    assert got == want and len(want) > 200
+
+
 def test_topk_with_ties_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(topk, "ANNULUS", 16)
     monkeypatch.setattr(topk, "SHARD", 2)
