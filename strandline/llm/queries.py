@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, bpe, jaccard, licences, mixing, quality, repeats, secrets, token_files, topk
+from strandline.llm import archives, bpe, jaccard, licences, mixing, negatives, quality, repeats, secrets, token_files, topk, whitening
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -150,3 +150,32 @@ def split_pattern() -> str:
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.encode(docs, "doc_id", "text", tokenizer_file("byte_bpe_multi_50k.tiktoken"), split_pattern(), digest=True)
+
+
+@query("op11_hard_negatives", """
+    with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                      list_transform(embedding, lambda x: floor(256 * x::double))::double[] as v from embeddings
+               where vec_id is not null and label is not null and len(embedding) > 0
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score
+          from e a join e c on a.vec_id % 50 = 0 and a.vec_id <> c.vec_id and len(a.v) = len(c.v)),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+          qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    n as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+                 row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+          from p join s on p.anchor_id = s.anchor_id and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+""")
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", label, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_whitening")
+def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    each = found.select("*", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
+        F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
+    )
