@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import archives, bpe, jaccard, licences, mixing, negatives, quality, repeats, secrets, token_files, topk, whitening
+from strandline.llm import (
+    archives, bpe, jaccard, licences, mixing, negatives, quality, repeats, secrets, suffix_tree, token_files, topk, whitening,
+)
 from strandline.llm.common import table
 from strandline.llm.registry import ORACLES, QUERIES, query
 
@@ -179,3 +181,13 @@ def whitening_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", F.col("deviation").cast("long").alias("deviation"),
         F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error",
     )
+
+
+@query("op12_lm_scores")
+def lm_scores_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(True))
+    found = suffix_tree.score(table(spark, sf_dir, "documents"), "doc_id", "text", ~held_out)
+    return found.select(
+        F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 10 == 0, F.lit(True)).alias("held_out"),
+        "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_in_context",
+    )
