@@ -3,9 +3,10 @@
 The tree's states are contexts of one to ``DEPTH`` words; the root is the distribution of single words. A context's
 distribution is its counts smoothed by the distribution of the next shorter context that is kept,
 
-    P(x | s) = (c(s x) + PRIOR * P(x | shorter)) / (c(s) + PRIOR),
+    P(x | s) = (c(s x) + B * d(s) * P(x | shorter)) / (c(s) + B * d(s)),    B = BACK, d(s) the distinct words after s,
 
-so it sums to one whenever the root does; the root adds 0.1 to each count and to one unknown word. A context is a
+so it sums to one whenever the root does, and contexts with many different words after them lean on shorter ones. The
+root adds 0.1 to each count and to one unknown word. A context is a
 candidate from ``LEAST`` occurrences on and is kept by a divergence test: the log10 likelihood that its distribution gains
 over its suffix's on the context's own occurrences, each left out of the counts that predict it, is at least ``GAIN``.
 That estimates c(s) times the divergence without the bias of counts that predict themselves. A word is scored in the
@@ -49,7 +50,7 @@ WORDS = 1 << 19  # words of all blocks to a bucket
 GRAMS = 1 << 21  # n-grams of all blocks to a bucket
 DEPTH = 3  # words of a context
 LEAST = 8  # occurrences of a context
-PRIOR = 4.0  # weight of the shorter context's distribution
+BACK = 1.0  # weight of the shorter context's distribution for each distinct word after the context
 GAIN = 1.0  # log10 likelihood that a kept context gains
 ROOT = 0.1  # added to each count of the root
 BLOCKS = "part int, block long, learns binary, lengths binary, codes binary, words binary, n_tokens long, n_words long, n_learned long"
@@ -145,7 +146,7 @@ class Model:
 
     depth: int
     least: int
-    prior: float
+    back: float
     gain: float
     word_buckets: int
     gram_buckets: int
@@ -153,6 +154,7 @@ class Model:
     distinct: int = 0
     words: str = ""
     grams: tuple[str, ...] = ()
+    spreads: str = ""
     kept: str = ""
 
 
@@ -258,38 +260,61 @@ def contexts_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield at, seen, joined(contexts, np.full(len(at), which + 1, np.uint64)), found
 
 
+def context_keys(levels: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct contexts of all lengths in order, and for each length which of them stands at each place."""
+    distinct, number = np.unique(np.concatenate([c for _, _, c, _ in levels]), return_inverse=True)
+    return distinct, np.split(number, np.cumsum([len(at) for at, _, _, _ in levels])[:-1])
+
+
+def send_contexts(block: Block, distinct: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    steps = lambda a, b: packed(np.diff(distinct[a:b], prepend=np.uint64(0)))
+    return ask(block, steps, bucket_of(distinct, block.model.gram_buckets), values)
+
+
+def send_spreads(block: Block) -> pa.RecordBatch:
+    """Each occurrence of an n-gram counts as its share of all of them, so a context's sum is its distinct next words."""
+    block.know_words()
+    levels = list(contexts_of(block))
+    distinct, numbers = context_keys(levels)
+    total = np.zeros(len(distinct))
+    for (at, _, _, found), number in zip(levels, numbers, strict=True):
+        np.add.at(total, number, np.where(block.learns[at], 1.0 / np.maximum(found, 1), 0.0))
+    return send_contexts(block, distinct, total)
+
+
 def send_gains(block: Block) -> pa.RecordBatch:
     """Each context's gain over its suffix on this block, every occurrence left out of the counts that predict it."""
-    p, prior = block.root(), block.model.prior
-    keys, gains = [], []
-    for at, seen, contexts, found in contexts_of(block):
-        q = p[at]
-        own = block.learns[at]
-        left_out = (np.maximum(found - 1, 0) + prior * q) / (seen - 1 + prior)
-        keys.append(contexts)
-        gains.append(np.where(own, np.log10(left_out) - np.log10(q), 0.0))
-        p[at] = (found + prior * q) / (seen + prior)
-    distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(number, np.concatenate(gains), minlength=len(distinct))
-    steps = lambda a, b: packed(np.diff(distinct[a:b], prepend=np.uint64(0)))
-    return ask(block, steps, bucket_of(distinct, block.model.gram_buckets), total)
+    p, back = block.root(), block.model.back
+    levels = list(contexts_of(block))
+    distinct, numbers = context_keys(levels)
+    spreads = answers_of(block.model.spreads, block.part, block.block)
+    total = np.zeros(len(distinct))
+    for (at, seen, _, found), number in zip(levels, numbers, strict=True):
+        q, spread = p[at], spreads[number] if len(at) else seen
+        # An n-gram that occurs once takes its word with it.
+        less = back * (spread - (found == 1))
+        left_out = (np.maximum(found - 1, 0) + less * q) / np.maximum(seen - 1 + less, 1e-300)
+        own = block.learns[at] & (seen > 1)
+        np.add.at(total, number[own], np.log10(left_out[own]) - np.log10(q[own]))
+        weight = back * spread
+        p[at] = (found + weight * q) / (seen + weight)
+    return send_contexts(block, distinct, total)
 
 
 def score_block(block: Block) -> pa.RecordBatch:
-    p, prior = block.root(), block.model.prior
+    p, back = block.root(), block.model.back
     base = np.log10(p)
     known = block.counts > 0
     levels = list(contexts_of(block))
-    distinct, number = np.unique(np.concatenate([c for _, _, c, _ in levels]), return_inverse=True)
-    kept = (answers_of(block.model.kept, block.part, block.block) > 0)[number] if len(distinct) else np.zeros(0, bool)
+    _, numbers = context_keys(levels)
+    spreads, kept = (answers_of(folder, block.part, block.block) for folder in (block.model.spreads, block.model.kept))
     state = np.zeros(len(p), np.int64)
-    start = 0
-    for length, (at, seen, _, found) in enumerate(levels, 1):
-        here = kept[start : start + len(at)]
-        start += len(at)
-        on = at[here]
-        p[on] = (found[here] + prior * p[on]) / (seen[here] + prior)
-        state[on] = length
+    for length, ((at, seen, _, found), number) in enumerate(zip(levels, numbers, strict=True), 1):
+        if len(at):
+            here = kept[number] > 0
+            on, weight = at[here], back * spreads[number][here]
+            p[on] = (found[here] + weight * p[on]) / (seen[here] + weight)
+            state[on] = length
     add = lambda x: np.add.reduceat(x, block.starts)
     return pa.RecordBatch.from_pydict({
         "id": block.ids, "n_tokens": block.lengths, "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(np.log10(p)),
@@ -309,9 +334,9 @@ def each_block(blocks: DataFrame, model: Model, make: Callable[[Block], pa.Recor
     return (blocks if ids else blocks.drop("ids")).mapInArrow(run, schema)
 
 
-def answered(asked: DataFrame, text: bool, kept_from: float | None = None) -> str:
-    """Buckets add up what blocks sent for equal keys and answer each block in its order; with ``kept_from`` the answer
-    is whether the sum reaches it. The folder of the answers, by input split."""
+def answered(asked: DataFrame, text: bool = False, sums: Callable[[np.ndarray], np.ndarray] | None = None) -> str:
+    """Buckets add up what blocks sent for equal keys and answer each block in its order. ``sums``: what is sent are
+    fractions, and the answers are made from their sums by it. The folder of the answers, by input split."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         # Blocks in order, so that sums of fractions come out alike at every run.
@@ -323,12 +348,12 @@ def answered(asked: DataFrame, text: bool, kept_from: float | None = None) -> st
             keys = pa.array(np.concatenate([np.cumsum(unpacked(r, np.uint64), dtype=np.uint64) for r in raw]))
         numbers = keys.dictionary_encode()
         number = numbers.indices.to_numpy()
-        values = np.concatenate([unpacked(v, np.int64 if kept_from is None else np.float64) for v in table.column("values").to_pylist()])
+        values = np.concatenate([unpacked(v, np.int64 if sums is None else np.float64) for v in table.column("values").to_pylist()])
         totals = np.zeros(len(numbers.dictionary), values.dtype)
         np.add.at(totals, number, values)
         known = int((totals > 0).sum())
-        if kept_from is not None:
-            totals = (totals >= kept_from).astype(np.int64)
+        if sums is not None:
+            totals = sums(totals).astype(np.int64)
         ends = np.cumsum(table.column("n").to_numpy())
         parts = np.split(totals[number], ends[:-1])
         n = table.num_rows
@@ -343,7 +368,7 @@ def answered(asked: DataFrame, text: bool, kept_from: float | None = None) -> st
 
 
 def score(
-    df: DataFrame, id_col: str, text_col: str, learns: Column, depth: int = DEPTH, least: int = LEAST, prior: float = PRIOR, gain: float = GAIN
+    df: DataFrame, id_col: str, text_col: str, learns: Column, depth: int = DEPTH, least: int = LEAST, back: float = BACK, gain: float = GAIN
 ) -> DataFrame:
     """For each row: id, n_tokens (words and the end), n_known, base_score and score (log10 probabilities under the
     root and under the tree), n_in_context (tokens scored in another state than the root), train_tokens."""
@@ -351,13 +376,14 @@ def score(
     blocks = to_blocks(df, id_col, text_col, learns)
     sizes = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), F.sum("n_learned").alias("learned")).first()
     tokens, words, learned = sizes["tokens"] or 0, sizes["words"] or 0, sizes["learned"] or 0
-    model = Model(depth, max(1, least), prior, gain, max(1, -(-words // WORDS)), max(1, -(-tokens // GRAMS)), learned)
-    model.words = answered(each_block(blocks, model, send_words, ASKED), True)
+    model = Model(depth, max(1, least), back, gain, max(1, -(-words // WORDS)), max(1, -(-tokens // GRAMS)), learned)
+    model.words = answered(each_block(blocks, model, send_words, ASKED), text=True)
     answers = spark.read.schema(ANSWERS).parquet(model.words)
     model.distinct = answers.agg(F.sum("known").alias("v")).first()["v"] or 0
     for _ in range(depth):
-        model.grams += (answered(each_block(blocks, model, send_grams, ASKED), False),)
-    model.kept = answered(each_block(blocks, model, send_gains, ASKED), False, gain)
+        model.grams += (answered(each_block(blocks, model, send_grams, ASKED)),)
+    model.spreads = answered(each_block(blocks, model, send_spreads, ASKED), sums=np.rint)
+    model.kept = answered(each_block(blocks, model, send_gains, ASKED), sums=lambda total: total >= gain)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double, n_in_context long"
     return each_block(blocks, model, score_block, schema, ids=True).withColumn("train_tokens", F.lit(learned).cast("long"))
