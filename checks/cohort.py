@@ -267,7 +267,52 @@ def _(spark, sf):
 @query("joint_af_em_distributed", f"WITH RECURSIVE {_EM} SELECT pk, round(af, 6) AS af, CAST(floor(c1 + 0.5) AS BIGINT) AS alt_count, rounds, round(qual, 5) + 0.0 AS qual FROM res")
 def _(spark, sf):
     e = E.af_em_distributed(_pls(spark, sf), ["pk"])
-    return e.select("pk", F.round("alt_share", 6).alias("af"), "alt_count", "rounds", (F.round("qual", 5) + 0.0).alias("qual"))
+    return e.select("pk", F.round(F.col("af")[1], 6).alias("af"), F.col("counts")[1].cast("long").alias("alt_count"), "rounds", (F.round("qual", 5) + 0.0).alias("qual"))
+
+
+def _many_alleles(spark, sf):
+    """Parts as sites of two to four alleles, their line items as samples; alternatives of one base and of two."""
+    a = _arrays(spark, sf).join(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("ok"), F.col("l_linenumber").cast("long").alias("ln"), F.col("l_partkey").alias("pk")).distinct(), ["ok", "ln"])
+    n = (2 + F.col("pk") % 3).cast("int")
+    alleles = F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: F.when(i == 1, F.lit("A")).when((F.col("pk") + i) % 2 == 0, F.lit("C")).otherwise(F.lit("CT")))
+    return a.select("pk", n.alias("n_alleles"), F.slice("pl", F.lit(1), (n * (n + 1) / 2).cast("int")).alias("pl"), alleles.alias("alleles"))
+
+
+def _em_many(other: str) -> str:
+    """Estimation for any number of alleles; ``other`` is the pseudocount of alternative a of a site."""
+    i, j = _IJ
+    post = f"list_transform(gls, lambda g: list_transform(range(1, len(g) + 1), lambda p: pow(10, g[p] + la[{i}[p] + 1] + la[{j}[p] + 1] + CASE WHEN {i}[p] = {j}[p] THEN 0 ELSE log10(2) END)))"
+    return f"""{_ARR}, ids AS (SELECT DISTINCT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, l_partkey AS pk FROM lineitem),
+  v AS (SELECT pk, 2 + pk % 3 AS n, list_transform(pl[1:((2 + pk % 3) * (3 + pk % 3)) // 2], lambda x: x / -10.0) AS gl FROM a JOIN ids USING (ok, ln)),
+  g AS (SELECT pk, n, list(gl) AS gls, list_transform(range(1, n + 1), lambda a: CASE WHEN a = 1 THEN 10.0 ELSE {other} END) AS prior FROM v GROUP BY pk, n),
+  em AS (SELECT pk, n, gls, prior, list_transform(prior, lambda x: -log10(n)) AS la, list_transform(prior, lambda x: 0.0::DOUBLE) AS c, 0 AS it, false AS done FROM g
+    UNION ALL
+    SELECT pk, n, gls, prior, CASE WHEN n = 2 OR NOT rest THEN list_transform(range(1, n + 1), lambda a: log10((prior[a] + new[a]) / (list_sum(prior) + list_sum(new)))) ELSE la END, new, it + 1, rest FROM (
+      SELECT *, list_max(list_transform(range(1, n + 1), lambda a: abs(new[a] - c[a]))) <= 0.1 OR it + 1 > 100 AS rest FROM (
+        SELECT *, list_transform(range(0, n), lambda a: list_sum(list_transform(w, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda p: x[p] * (CAST({i}[p] = a AS INT) + CAST({j}[p] = a AS INT)))) / list_sum(x)))) AS new FROM (
+          SELECT *, {post} AS w FROM em WHERE NOT done)))),
+  fin AS (SELECT *, {post} AS w FROM em WHERE done),
+  res AS (SELECT pk, n, list_transform(c, lambda x: x / list_sum(c)) AS af, it AS rounds, greatest(0, -10 * list_sum(list_transform(w, lambda x: log10(x[1] / list_sum(x))))) AS qual FROM fin)"""
+
+
+def _estimate(e):
+    share = [F.round(F.get("af", F.lit(a)), 6).alias(f"af{a}") for a in range(4)]
+    return e.select("pk", F.col("n_alleles").cast("long").alias("n"), *share, "rounds", (F.round("qual", 5) + 0.0).alias("qual"))
+
+
+_ESTIMATE = "SELECT pk, n, round(af[1], 6) AS af0, round(af[2], 6) AS af1, round(af[3], 6) AS af2, round(af[4], 6) AS af3, rounds, round(qual, 5) + 0.0 AS qual FROM res"
+
+
+@query("af_em_multi", f"WITH RECURSIVE {_em_many('0.01')} {_ESTIMATE}")
+def _(spark, sf):
+    """Sites of mixed allele counts, each estimated in its row."""
+    return _estimate(E.af_em(_many_alleles(spark, sf), ["pk"]))
+
+
+@query("af_em_indel", f"WITH RECURSIVE {_em_many('CASE WHEN (pk + a) % 2 = 0 THEN 0.01 ELSE 0.00125 END')} {_ESTIMATE}")
+def _(spark, sf):
+    """The same sites by rounds over all vectors, with the prior of indels where an alternative has two bases."""
+    return _estimate(E.af_em_distributed(_many_alleles(spark, sf), ["pk"], prior=E.site_prior(F.col("alleles"))))
 
 
 @query("single_sample_none")
