@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import common
 
-BLOCK_BYTES = 24 << 20  # text of a block; a longer document is a block by itself
+BLOCK_BYTES = 10 << 20  # text of a block; a longer document is a block by itself
 WORDS = 1 << 19  # words of all blocks to a bucket
 GRAMS = 1 << 21  # n-grams of all blocks to a bucket
 DEPTH = 3  # words of a context
@@ -80,6 +80,15 @@ def joined(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and which of them stands at each place. Only distinct keys are sorted."""
+    number, distinct = pd.factorize(keys)
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return distinct[order], rank[number]
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Ranges of the hash, in its order."""
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -205,14 +214,11 @@ class Block:
         at = np.flatnonzero((self.place[1:] >= length) & (self.counts[:-1] >= self.model.least)) + 1
         contexts, seen = self.grams[at - 1], self.counts[at - 1]
         keys = joined(contexts, self.hashes[self.codes[at]])
-        number, distinct = pd.factorize(keys)
-        order = np.argsort(distinct)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        distinct, number = ranked(keys)
         self.length = length
         self.grams = np.zeros(len(self.codes), np.uint64)
         self.grams[at] = keys
-        return at, seen, contexts, distinct[order], rank[number]
+        return at, seen, contexts, distinct, number
 
     def know_level(self, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         at, seen, contexts, _, number = self.level()
@@ -262,7 +268,7 @@ def contexts_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 def context_keys(levels: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct contexts of all lengths in order, and for each length which of them stands at each place."""
-    distinct, number = np.unique(np.concatenate([c for _, _, c, _ in levels]), return_inverse=True)
+    distinct, number = ranked(np.concatenate([c for _, _, c, _ in levels]))
     return distinct, np.split(number, np.cumsum([len(at) for at, _, _, _ in levels])[:-1])
 
 
