@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bases import READS, _REF, reads, reference_chunks, sql_ref_base
+from checks.ranks import rank_tests
 from checks.registry import query
+from strandline.operators import annotate as A
 from strandline.operators import likelihood as L
 from strandline.operators import pileup as P
 
@@ -122,3 +124,80 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return L.confidence_loci(observations(spark, sf), ["k", "pos", "sample"])
+
+
+# --- annotations of sites ---
+
+SITES = f"""{OBS}, ob AS MATERIALIZED (SELECT k, pos, sample, is_deletion OR base <> ref_base AS alt, flag & 16 <> 0 AS rev, is_deletion AS gap, q, mapq,
+    CASE WHEN NOT is_deletion THEN least(read_offset, read_length - 1 - read_offset) END AS place FROM obs)"""
+
+
+def _kind_tests(kinds: dict[str, str], source: str) -> str:
+    """The test of each kind of value, under the name of its kind."""
+    each = " UNION ALL ".join(f"SELECT k, pos, '{name}' AS kind, CAST({v} AS DOUBLE) AS v, alt FROM {source}" for name, v in kinds.items())
+    return f"kv AS ({each}), {rank_tests('kv', 'k, pos, kind')}"
+
+
+@query(
+    "rank_sum_inputs",
+    f"""WITH RECURSIVE {SITES}, {_kind_tests({'b': 'q', 'm': 'mapq', 'p': 'place', 's': '(q + 1) / 100.0'}, 'ob')}
+    SELECT k, pos, round(max(z) FILTER (kind = 'b'), 3) + 0.0 AS base_q, round(max(z) FILTER (kind = 'm'), 3) + 0.0 AS mapq, round(max(z) FILTER (kind = 'p'), 3) + 0.0 AS place,
+      round(max(z) FILTER (kind = 's'), 3) + 0.0 AS share FROM rz GROUP BY k, pos""",
+)
+def _(spark, sf):
+    """The three rank sums of every covered position, and one of values between 0 and 1."""
+    o = observations(spark, sf, realigned=True)
+    z = A.rank_sums(o, ["k", "pos"], F.col("is_alt"), A.read_values() | {"share": (F.col("qual") + 1) / 100.0})
+    named = {"base_q_rank_sum": "base_q", "mq_rank_sum": "mapq", "read_pos_rank_sum": "place", "share": "share"}
+    return z.select("k", "pos", *[(F.round(c, 3) + 0.0).alias(n) for c, n in named.items()])
+
+
+_ANNOTATED = f"""{SITES}, st AS MATERIALIZED (SELECT k, pos FROM ob GROUP BY k, pos HAVING count(*) FILTER (alt) >= 3), so AS MATERIALIZED (SELECT ob.* FROM ob JOIN st USING (k, pos)),
+  u AS (SELECT *, gap OR q >= 10 AS used, CASE WHEN NOT gap AND q <= 0 THEN '-inf'::DOUBLE ELSE log10(1 - pow(10, -(CASE WHEN gap THEN 30 ELSE q END) / 10.0)) END AS a,
+    -(CASE WHEN gap THEN 30 ELSE q END) / 10.0 - log10(3) AS b FROM so),
+  v AS (SELECT *, CASE WHEN alt THEN b ELSE a END AS rr, CASE WHEN alt THEN a ELSE b END AS aa FROM u),
+  h AS (SELECT *, greatest(rr, aa) + CASE WHEN abs(rr - aa) < 8 THEN log10(1 + pow(10, -(floor(abs(rr - aa) * 10000.0 + 0.5) / 10000.0))) ELSE 0 END AS hh FROM v),
+  gs AS (SELECT k, pos, sample, count(*) FILTER (NOT alt) AS ad0, count(*) FILTER (alt) AS ad1, coalesce(sum(rr) FILTER (used), 0) AS g0,
+    coalesce(sum(hh) FILTER (used), 0) - count(*) FILTER (used) * log10(2) AS g1, coalesce(sum(aa) FILTER (used), 0) AS g2 FROM h GROUP BY ALL),
+  pl AS (SELECT *, list_transform([g0, g1, g2], lambda x: floor(-10 * (x - greatest(g0, g1, g2)) + 0.5)) AS pl FROM gs),
+  ca AS (SELECT *, list_position(pl, list_min(pl)) - 1 AS gt FROM pl),
+  su AS (SELECT k, pos, count(*) FILTER (gt = 0) AS rr, count(*) FILTER (gt = 1) AS het, count(*) FILTER (gt = 2) AS hom, CAST(sum(gt) AS BIGINT) AS ac, 2 * count(*) AS an,
+    CAST(sum(ad0 + ad1) AS BIGINT) AS dp, CAST(sum(CASE WHEN gt > 0 THEN ad0 + ad1 ELSE 0 END) AS BIGINT) AS carried, list(list_transform(pl, lambda x: x / -10.0)) AS gl FROM ca GROUP BY k, pos),
+  em AS (SELECT k, pos, gl, log10(0.5) AS f0, log10(0.5) AS f1, 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0 AS it, false AS done FROM su
+    UNION ALL
+    SELECT k, pos, gl, log10((10 + n0) / (10.01 + n0 + n1)), log10((0.01 + n1) / (10.01 + n0 + n1)), n0, n1, it + 1, greatest(abs(n0 - c0), abs(n1 - c1)) <= 0.1 OR it + 1 > 100 FROM (
+      SELECT *, list_sum(list_transform(w, lambda v: (2 * v[1] + v[2]) / (v[1] + v[2] + v[3]))) AS n0, list_sum(list_transform(w, lambda v: (v[2] + 2 * v[3]) / (v[1] + v[2] + v[3]))) AS n1 FROM (
+        SELECT *, list_transform(gl, lambda x: [pow(10, x[1] + 2 * f0), 2 * pow(10, x[2] + f0 + f1), pow(10, x[3] + 2 * f1)]) AS w FROM em WHERE NOT done))),
+  ef AS (SELECT k, pos, c1, list_transform(gl, lambda x: [pow(10, x[1] + 2 * f0), 2 * pow(10, x[2] + f0 + f1), pow(10, x[3] + 2 * f1)]) AS w FROM em WHERE done),
+  eq AS (SELECT k, pos, CAST(floor(c1 + 0.5) AS BIGINT) AS mleac, greatest(0, -10 * list_sum(list_transform(w, lambda v: log10(v[1] / (v[1] + v[2] + v[3]))))) AS qual FROM ef),
+  eh AS (SELECT k, pos, het, 2 * least(rr, hom) + het AS rare, rr + het + hom AS n FROM su),
+  ex AS (SELECT k, pos, het, rare, n, unnest(generate_series(rare % 2, rare, 2)) AS h FROM eh),
+  el AS (SELECT k, pos, het, h, h * ln(2) - lgamma((rare - h) / 2 + 1) - lgamma(h + 1) - lgamma(n - h - (rare - h) / 2 + 1) AS lp FROM ex),
+  ew AS (SELECT k, pos, het, h, exp(lp - max(lp) OVER (PARTITION BY k, pos)) AS w FROM el),
+  eo AS (SELECT k, pos, greatest(0.0, -10 * log10(sum(w) FILTER (h >= het) / sum(w))) AS excess_het FROM ew GROUP BY k, pos),
+  tb AS (SELECT k, pos, count(*) FILTER (NOT alt AND NOT rev) AS a, count(*) FILTER (NOT alt AND rev) AS b, count(*) FILTER (alt AND NOT rev) AS c, count(*) FILTER (alt AND rev) AS d,
+    sqrt(avg(mapq * mapq) FILTER (mapq <> 255)) AS mq FROM so GROUP BY k, pos),
+  sr AS (SELECT k, pos, mq, ln(((a + 1.0) / (b + 1)) * ((d + 1.0) / (c + 1)) + ((b + 1.0) / (a + 1)) * ((c + 1.0) / (d + 1))) + ln(least(a + 1.0, b + 1) / greatest(a + 1, b + 1))
+    - ln(least(c + 1.0, d + 1) / greatest(c + 1, d + 1)) AS sor FROM tb),
+  fm AS (SELECT k, pos, a, a + b AS m, c + d AS n, a + c AS kk, greatest(0, a - d) AS lo, least(a + c, a + b) AS hi FROM tb),
+  fx AS (SELECT *, unnest(generate_series(lo, hi)) AS x FROM fm),
+  fl AS (SELECT *, lgamma(m + 1) - lgamma(x + 1) - lgamma(m - x + 1) + lgamma(n + 1) - lgamma(kk - x + 1) - lgamma(n - kk + x + 1) - (lgamma(m + n + 1) - lgamma(kk + 1) - lgamma(m + n - kk + 1)) AS lp FROM fx),
+  fo AS (SELECT k, pos, lp * (1 - 1e-7) AS thr FROM fl WHERE x = a),
+  fs AS (SELECT k, pos, greatest(0.0, -10 * log10(CASE WHEN max(lo) >= max(hi) THEN 1.0 ELSE least(1.0, coalesce(sum(exp(lp)) FILTER (lp <= thr), 1.0)) END)) AS fs FROM fl JOIN fo USING (k, pos) GROUP BY k, pos),
+  {_kind_tests({'b': 'q', 'm': 'mapq', 'p': 'place'}, 'so')},
+  rk AS (SELECT k, pos, max(z) FILTER (kind = 'b') AS bq, max(z) FILTER (kind = 'm') AS mqr, max(z) FILTER (kind = 'p') AS rp FROM rz GROUP BY k, pos),
+  an AS (SELECT k, pos, qual, ac, ac / an AS af, an, dp, excess_het, fs, sor, mleac, least(1.0, mleac / an) AS mleaf, mq, qual / nullif(carried, 0) AS qd, bq, mqr, rp,
+    CASE WHEN an >= 6 THEN 1.0 - het / (an / 2) END AS inbreeding FROM su JOIN eq USING (k, pos) JOIN eo USING (k, pos) JOIN sr USING (k, pos) JOIN fs USING (k, pos) LEFT JOIN rk USING (k, pos))"""
+
+
+@query(
+    "annotate_sites",
+    f"""WITH RECURSIVE {_ANNOTATED}
+    SELECT k, pos, round(qual, 4) + 0.0 AS qual, ac, round(af, 6) AS af, an, dp, round(excess_het, 4) + 0.0 AS excess_het, round(fs, 4) + 0.0 AS fs, round(sor, 5) + 0.0 AS sor, mleac, round(mleaf, 6) AS mleaf,
+      round(mq, 5) AS mq, round(qd, 4) + 0.0 AS qd, round(bq, 3) + 0.0 AS base_q_rank_sum, round(mqr, 3) + 0.0 AS mq_rank_sum, round(rp, 3) + 0.0 AS read_pos_rank_sum, round(inbreeding, 6) AS inbreeding FROM an""",
+)
+def _(spark, sf):
+    """Every site with three alternative observations or more, its line numbers as samples."""
+    a = A.annotate_sites(observations(spark, sf, realigned=True), ["k", "pos"], F.expr("flag & 16 <> 0"), min_alt=3, min_samples=3)
+    places = {"qual": 4, "af": 6, "excess_het": 4, "fs": 4, "sor": 5, "mleaf": 6, "mq": 5, "qd": 4, "base_q_rank_sum": 3, "mq_rank_sum": 3, "read_pos_rank_sum": 3, "inbreeding": 6}
+    return a.select(*[(F.round(c, places[c]) + 0.0).alias(c) if c in places else F.col(c) for c in a.columns])

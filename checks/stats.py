@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bases import READS, SHIPMENTS, reads, reference_chunks, shipments, sql_ref_base
+from checks.ranks import rank_tests
 from checks.registry import query, table
 from strandline.operators import stats as S
 
@@ -105,11 +106,15 @@ def _(spark, sf):
     return S.rank_sum(li, ["k"], "l_extendedprice", F.col("l_returnflag") == "R").withColumn("z", F.round("z", 6))
 
 
-@query("rank_sum_small")
+@query(
+    "rank_sum_small",
+    f"""WITH RECURSIVE o AS (SELECT l_orderkey AS k, l_quantity AS v, l_returnflag = 'R' AS alt FROM lineitem), {rank_tests('o', 'k')}
+    SELECT k, n1, n2, round(z, 3) + 0.0 AS z FROM rz""",
+)
 def _(spark, sf):
     """Every order is a site with a handful of values on each side: the exact permutation branch."""
     li = table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")
-    return S.rank_sum(li, ["k"], "l_quantity", F.col("l_returnflag") == "R").withColumn("z", F.round("z", 3))
+    return S.rank_sum(li, ["k"], "l_quantity", F.col("l_returnflag") == "R").withColumn("z", F.round("z", 3) + 0.0)
 
 
 @query("rms_quality", f"WITH {READS} SELECT k, round(sqrt(avg(mapq * mapq) FILTER (mapq <> 255)), 6) AS rms_mq FROM reads GROUP BY k")

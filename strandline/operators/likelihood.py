@@ -65,8 +65,10 @@ def ref_vs_any(
     is_deletion: str | None = "is_deletion",
     model: ActivityModel = ActivityModel(),
     extra: Sequence[Column] = (),
+    weight: Column | None = None,
 ) -> DataFrame:
-    """``gl`` (log10 likelihood of 0..ploidy alternative copies), ``dp`` and ``n_used`` per key."""
+    """``gl`` (log10 likelihood of 0..ploidy alternative copies), ``dp`` and ``n_used`` per key. ``weight`` is how many
+    observations a row stands for, by default one."""
     p = model.ploidy
     dele = F.col(is_deletion) if is_deletion else F.lit(False)
     q = F.when(dele, F.lit(model.deletion_quality)).otherwise(F.col(qual))
@@ -80,11 +82,11 @@ def ref_vs_any(
             t = alt + math.log10(p)
         else:
             t = log10_sum_pair(ref + math.log10(p - i), alt + math.log10(i))
-        parts.append(F.sum(F.when(used, t)).alias(f"__g{i}"))
+        parts.append(F.sum(F.when(used, t if weight is None else t * weight)).alias(f"__g{i}"))
     agg = obs.groupBy(*keys).agg(
         *parts,
-        F.count(F.lit(1)).alias("dp"),
-        F.count(F.when(used, 1)).alias("n_used"),
+        (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("dp"),
+        F.count(F.when(used, 1)).alias("n_used") if weight is None else F.coalesce(F.sum(F.when(used, weight)), F.lit(0)).alias("n_used"),
         *extra,
     )
     gl = F.array(
