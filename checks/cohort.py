@@ -8,8 +8,8 @@ from checks.bases import day, ref_index, sql_day, sql_ref_base
 from checks.registry import query, table
 from strandline.functions import genotype as G
 from strandline.operators import em as E
+from strandline.plans import cohort as Co
 from strandline.plans import combine as C
-from strandline.plans import joint as Jt
 
 
 # --- arrays from line item columns: alleles A, C, T, <NON_REF> ---
@@ -220,9 +220,42 @@ def _(spark, sf):
     return C.breakpoints(gvcf(spark, sf), ["k"])
 
 
-@query("joint_genotype")
+_PAIRS = [(i, j) for j in range(9) for i in range(j + 1)]
+_PI, _PJ = str([i for i, _ in _PAIRS]), str([j for _, j in _PAIRS])
+_GT = f"list_transform(gls, lambda g: list_transform(range(1, len(g) + 1), lambda p: pow(10, g[p] + la[{_PI}[p] + 1] + la[{_PJ}[p] + 1] + CASE WHEN {_PI}[p] = {_PJ}[p] THEN 0 ELSE log10(2) END)))"
+_JOINT = f"""{_COMBINE},
+  vc AS (SELECT *, len(ta) AS m, list_concat([rf], list_slice(ta, 1, len(ta) - 1)) AS al FROM ca WHERE len(ta) > 1),
+  dp0 AS (SELECT k, p, ord, m, al, dp, ad[1:m] AS ad, flatten(list_transform(range(0, m), lambda j: list_transform(range(0, j + 1), lambda i: least(pl[j * (j + 1) // 2 + i + 1],
+      CASE WHEN i = j OR i = 0 THEN pl[m * (m + 1) // 2 + j + 1] END, CASE WHEN j = 0 THEN pl[m * (m + 1) // 2 + m + 1] END)))) AS pl FROM vc),
+  dc AS MATERIALIZED (SELECT * REPLACE (list_transform(pl, lambda x: x - list_min(pl)) AS pl) FROM dp0),
+  gg AS (SELECT k, p, any_value(m) AS n, any_value(al) AS al, list(list_transform(pl, lambda x: x / -10.0)) AS gls FROM dc GROUP BY k, p),
+  pr AS (SELECT *, list_transform(range(1, n + 1), lambda a: CASE WHEN a = 1 THEN 10.0 WHEN length(al[a]) = length(al[1]) THEN 0.01 ELSE 0.00125 END) AS prior FROM gg),
+  em AS (SELECT k, p, n, gls, prior, list_transform(prior, lambda x: -log10(n)) AS la, list_transform(prior, lambda x: 0.0::DOUBLE) AS c, 0 AS it, false AS done FROM pr
+    UNION ALL
+    SELECT k, p, n, gls, prior, CASE WHEN n = 2 OR NOT rest THEN list_transform(range(1, n + 1), lambda a: log10((prior[a] + new[a]) / (list_sum(prior) + list_sum(new)))) ELSE la END, new, it + 1, rest FROM (
+      SELECT *, list_max(list_transform(range(1, n + 1), lambda a: abs(new[a] - c[a]))) <= 0.1 OR it + 1 > 100 AS rest FROM (
+        SELECT *, list_transform(range(0, n), lambda a: list_sum(list_transform(w, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda p: x[p] * (CAST({_PI}[p] = a AS INT) + CAST({_PJ}[p] = a AS INT)))) / list_sum(x)))) AS new FROM (
+          SELECT *, {_GT} AS w FROM em WHERE NOT done)))),
+  fin AS (SELECT *, {_GT} AS w FROM em WHERE done),
+  es AS MATERIALIZED (SELECT k, p, n, c, list_transform(c, lambda x: greatest(x / list_sum(c), 1e-300)) AS af, greatest(0, -10 * list_sum(list_transform(w, lambda x: log10(x[1] / list_sum(x))))) AS qual FROM fin),
+  cs AS (SELECT dc.*, qual, c, list_transform(range(1, len(pl) + 1), lambda x: pl[x] / -10.0 + log10(af[{_PI}[x] + 1]) + log10(af[{_PJ}[x] + 1]) + CASE WHEN {_PI}[x] = {_PJ}[x] THEN 0 ELSE log10(2) END) AS sc
+    FROM dc JOIN es ON dc.k = es.k AND dc.p = es.p WHERE qual >= 30),
+  cg AS (SELECT *, {_PI}[len(sc) - list_position(list_reverse(sc), list_max(sc)) + 1] AS g0, {_PJ}[len(sc) - list_position(list_reverse(sc), list_max(sc)) + 1] AS g1, list_sort(pl) AS sp FROM cs),
+  sj AS (SELECT k, p, any_value(al) AS al, any_value(qual) AS qual, any_value(c) AS c, 2 * count(*) AS an, count(*) AS ns, CAST(sum(dp) AS BIGINT) AS dp, list(g0) AS l0, list(g1) AS l1,
+    sum(CASE WHEN g1 > 0 THEN list_sum(ad) ELSE 0 END) AS carried, string_agg('s' || ord || ':' || g0 || ',' || g1 || ':' || least(99, sp[2] - sp[1]), ' ' ORDER BY ord) AS calls FROM cg GROUP BY k, p)"""
+
+
+@query(
+    "joint_genotype",
+    f"""WITH RECURSIVE {_JOINT} SELECT k, p AS "start", al[1] AS ref, array_to_string(list_slice(al, 2, len(al)), ',') AS alts, round(qual, 4) AS qual,
+      array_to_string(list_transform(range(1, len(al)), lambda a: len(list_filter(l0, lambda x: x = a)) + len(list_filter(l1, lambda x: x = a))), ',') AS ac, an, ns, dp,
+      round(qual / nullif(carried, 0), 5) AS qd, array_to_string(list_transform(range(2, len(al) + 1), lambda a: CAST(floor(c[a] + 0.5) AS BIGINT)), ',') AS mleac, calls FROM sj""",
+)
 def _(spark, sf):
-    j = Jt.genotype(C.combine(gvcf(spark, sf), ["k"], coalesce=False), ["k"])
+    """Merge and joint genotypes in long form; the calls are gathered for the comparison only."""
+    _, calls = Co.merge(gvcf(spark, sf), ["k"], variants_only=True)
+    sites, called = Co.genotype(calls, ["k"])
+    j = Co.wide(sites, called, ["k"])
     return j.select(
         "k", "start", "ref", F.array_join("alts", ",").alias("alts"), F.round("qual", 4).alias("qual"), _txt(F.col("ac")).alias("ac"), "an", "ns", "dp",
         F.round("qd", 5).alias("qd"), _txt(F.col("mleac")).alias("mleac"),
@@ -230,6 +263,16 @@ def _(spark, sf):
     )
 
 
+@query("merge_long", f"""WITH {_COMBINE} SELECT ca.k, p AS "start", pe AS "end", rf AS ref, array_to_string(ta, ',') AS alts, 's' || ord AS sample, gq, dp, array_to_string(ad, ',') AS ad, array_to_string(pl, ',') AS pl,
+    dp * 2 AS least_depth FROM ca""")
+def _(spark, sf):
+    """The merged cohort as calls, with a column that the merge does not know."""
+    blocks = gvcf(spark, sf).withColumn("least_depth", F.col("dp") * 2)
+    sites, calls = Co.merge(blocks, ["k"])
+    j = calls.join(sites, ["k", "start"])
+    return j.select("k", "start", "end", "ref", F.array_join("alts", ",").alias("alts"), "sample", "gq", "dp", _txt(F.col("ad")).alias("ad"), _txt(F.col("pl")).alias("pl"), "least_depth")
+
+
 @query(
     "joint_compatibility",
     f"""WITH {GVCF}, c AS (SELECT k, ord, s, e, max(e) OVER (PARTITION BY k, ord ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM gv)
