@@ -14,8 +14,11 @@ longest kept suffix of the words before it in its document.
 
 Documents become blocks of word codes in the shared folder, once. Counts of whole texts need no row for each word:
 a block sends its distinct words, and then its distinct n-grams by length, as packed sorted 64-bit hashes to buckets,
-a bucket adds what all blocks sent and answers every block in the order it asked. Buckets follow the hash of the
-n-gram, of which a block sends one entry however often it occurs, so no word or context is a hot key. Their number grows
+a bucket adds what all blocks sent and answers every block in the order it asked: the sum, a small number by which the
+bucket knows the n-gram from then on where it is frequent enough to be a context, and whether the block owns it, which of
+all blocks that hold an n-gram one does. What is summed for a context (its distinct next words, its gain) comes from the
+owners of its n-grams and goes to its bucket under that number. Buckets follow the hash of the n-gram, of which a block
+sends one entry however often it occurs, so no word or context is a hot key. Their number grows
 with the words of the input, and so do the tables of counts. Words are compared as bytes; n-grams by hash, of which two
 meet with a chance of about n^2 / 2^65. A length's n-grams are counted only behind contexts of ``LEAST`` occurrences, which
 the counts of the length before tell; nothing else limits them. Answers are written by input split, so a task reads one
@@ -55,16 +58,19 @@ GAIN = 1.0  # log10 likelihood that a kept context gains
 ROOT = 0.1  # added to each count of the root
 BLOCKS = "part int, block long, learns binary, lengths binary, codes binary, words binary, n_tokens long, n_words long, n_learned long"
 ASKED = "bucket int, part int, block long, keys binary, n long, values binary"
-ANSWERS = "part int, block long, bucket int, n long, totals binary, known long"
+ANSWERS = "part int, block long, bucket int, totals binary, owned binary, numbers binary, known long"
+LEVEL = 1 << 24  # buckets of one length of context, at most
+FINE = 4096.0  # gains are summed in whole numbers of this part of a unit, so that their sum has no order
 
 
 def packed(x: np.ndarray) -> bytes:
-    """An array of eight-byte numbers, compressed byte by byte position: small or sorted numbers shrink to little."""
-    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+    """An array of numbers, compressed byte by byte position: small or sorted numbers shrink to little."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes(), 1)
 
 
 def unpacked(raw: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view(kind).ravel()
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
 def hashed(words: list[bytes]) -> np.ndarray:
@@ -123,7 +129,7 @@ def to_blocks(df: DataFrame, id_col: str, text_col: str, learns: Column) -> Data
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([(part << 24) + number]),
                 "ids": pa.ListArray.from_arrays(pa.array([0, group.num_rows], pa.int32()), group.column("id").combine_chunks()),
-                "learns": [packed(learned.astype(np.int64))], "lengths": [packed(lengths)], "codes": [packed(codes)],
+                "learns": [packed(learned.astype(np.int64))], "lengths": [packed(lengths)], "codes": [packed(codes.astype(np.int32))],
                 "words": [zlib.compress(b"\n".join(listed), 1)], "n_tokens": pa.array([len(codes)]), "n_words": pa.array([len(listed)]),
                 "n_learned": pa.array([int(lengths[learned].sum())]),
             })
@@ -167,17 +173,38 @@ class Model:
     kept: str = ""
 
 
-def answers_of(folder: str, part: int, block: int) -> np.ndarray | None:
-    """What the buckets answered a block, in the order it asked."""
+def rows_of(folder: str, part: int, block: int) -> list[dict]:
+    """What the buckets answered a block, by bucket."""
     system, path = fs.FileSystem.from_uri(f"{folder}/part={part}")
     found = []
     for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         if info.base_name.endswith(".parquet"):
             with system.open_input_file(info.path) as source:
-                t = pq.ParquetFile(source).read(columns=["block", "bucket", "totals"])
-            t = t.filter(pc.equal(t.column("block"), block))
-            found += list(zip(t.column("bucket").to_pylist(), t.column("totals").to_pylist()))
-    return np.concatenate([unpacked(raw) for _, raw in sorted(found)]) if found else np.zeros(0, np.int64)
+                t = pq.ParquetFile(source).read(columns=["block", "bucket", "totals", "owned", "numbers"])
+            found += t.filter(pc.equal(t.column("block"), block)).to_pylist()
+    return sorted(found, key=lambda r: r["bucket"])
+
+
+@dataclass
+class Answer:
+    """For what a block asked, in its order: sums, whether it owns each, and each one's bucket and number there (the
+    number is -1 for those too rare to be a context)."""
+
+    totals: np.ndarray
+    owned: np.ndarray
+    bucket: np.ndarray
+    number: np.ndarray
+
+
+def answer_of(folder: str, part: int, block: int, least: int) -> Answer:
+    parts = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for row in rows_of(folder, part, block):
+        totals = unpacked(row["totals"])
+        number = np.full(len(totals), -1)
+        number[totals >= least] = np.cumsum(unpacked(row["numbers"]))
+        owned = np.unpackbits(np.frombuffer(zlib.decompress(row["owned"]), np.uint8), count=len(totals)).astype(bool)
+        parts.append((totals, owned, np.full(len(totals), row["bucket"]), number))
+    return Answer(*[np.concatenate(x) for x in zip(*parts)])
 
 
 class Block:
@@ -186,13 +213,16 @@ class Block:
     def __init__(self, row: dict, model: Model):
         self.model, self.part, self.block = model, row["part"], row["block"]
         self.words = zlib.decompress(row["words"]).split(b"\n")
-        self.codes, self.lengths = unpacked(row["codes"]), unpacked(row["lengths"])
+        self.codes, self.lengths = unpacked(row["codes"], np.int32), unpacked(row["lengths"])
         self.ids = row.get("ids")
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.place = np.arange(len(self.codes)) - np.repeat(self.starts, self.lengths)
+        self.place = (np.arange(len(self.codes)) - np.repeat(self.starts, self.lengths)).astype(np.int32)
         self.learns = np.repeat(unpacked(row["learns"]) > 0, self.lengths)
         self.hashes = hashed(self.words)
-        self.grams, self.counts = self.hashes[self.codes], None
+        # Of the n-grams that end at each place: hash, which of the block's distinct ones, and how often it is learned.
+        self.length, self.grams, self.which = 1, self.hashes[self.codes], self.codes
+        self.counts: np.ndarray | None = None
+        self.answer: Answer | None = None
 
     def asked_words(self) -> tuple[np.ndarray, np.ndarray]:
         """Order in which words are asked for, and the bucket of each."""
@@ -202,34 +232,78 @@ class Block:
 
     def know_words(self) -> np.ndarray:
         """Counts of the block's words among all that is learned."""
-        totals = np.zeros(len(self.words), np.int64)
-        totals[self.asked_words()[0]] = answers_of(self.model.words, self.part, self.block)
-        self.counts = totals[self.codes]
+        asked = answer_of(self.model.words, self.part, self.block, self.model.least)
+        back = np.empty(len(self.words), np.int64)
+        back[self.asked_words()[0]] = np.arange(len(self.words))
+        self.answer = Answer(asked.totals[back], asked.owned[back], asked.bucket[back], asked.number[back])
+        self.counts = self.answer.totals[self.codes]
         return self.counts
 
     def level(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The next length: places of its n-grams, occurrences of their contexts, hashes of the contexts; its distinct
+        """The next length: places of its n-grams, occurrences of their contexts, which contexts these are; its distinct
         n-grams in order, and which of them stands at each place."""
-        length = getattr(self, "length", 0) + 1
-        at = np.flatnonzero((self.place[1:] >= length) & (self.counts[:-1] >= self.model.least)) + 1
-        contexts, seen = self.grams[at - 1], self.counts[at - 1]
-        keys = joined(contexts, self.hashes[self.codes[at]])
+        at = np.flatnonzero((self.place[1:] >= self.length) & (self.counts[:-1] >= self.model.least)) + 1
+        contexts, seen = self.which[at - 1], self.counts[at - 1]
+        keys = joined(self.grams[at - 1], self.hashes[self.codes[at]])
         distinct, number = ranked(keys)
-        self.length = length
+        self.length += 1
         self.grams = np.zeros(len(self.codes), np.uint64)
         self.grams[at] = keys
+        self.which = np.zeros(len(self.codes), np.int32)
+        self.which[at] = number
         return at, seen, contexts, distinct, number
 
-    def know_level(self, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        at, seen, contexts, _, number = self.level()
-        totals = answers_of(self.model.grams[which], self.part, self.block)
+    def know_level(self) -> Level:
+        """The next length with the answers for it."""
+        context = self.answer
+        at, seen, contexts, distinct, number = self.level()
+        self.answer = answer_of(self.model.grams[self.length - 2], self.part, self.block, self.model.least)
         self.counts = np.zeros(len(self.codes), np.int64)
-        self.counts[at] = totals[number] if len(at) else 0
-        return at, seen, contexts, self.counts[at]
+        self.counts[at] = self.answer.totals[number] if len(at) else 0
+        return Level(self.length - 1, at, seen, contexts, self.counts[at], number, len(distinct), context, self.answer.owned)
 
     def root(self) -> np.ndarray:
         return (self.know_words() + ROOT) / (self.model.learned + ROOT * (self.model.distinct + 1))
 
+    def contexts_of(self) -> Iterator[Level]:
+        for _ in range(self.model.depth):
+            yield self.know_level()
+
+
+@dataclass
+class Level:
+    """One length of contexts in a block: places of their next words, the contexts' occurrences, which contexts these are
+    (of ``asked``) and the n-grams' occurrences; which distinct n-gram stands at each place, and which are owned."""
+
+    length: int
+    at: np.ndarray
+    seen: np.ndarray
+    contexts: np.ndarray
+    found: np.ndarray
+    number: np.ndarray
+    distinct: int
+    asked: Answer
+    owned: np.ndarray
+
+    def once(self) -> np.ndarray:
+        """A place in ``at`` for each n-gram that the block owns."""
+        first = np.zeros(self.distinct, np.int64)
+        first[self.number] = np.arange(len(self.at))
+        return first[self.owned]
+
+    def frequent(self) -> np.ndarray:
+        """The asked n-grams that are contexts, by bucket and number there: the order of messages about them."""
+        known = np.flatnonzero(self.asked.number >= 0)
+        return known[np.lexsort((self.asked.number[known], self.asked.bucket[known]))]
+
+    def spread_out(self, folder: str, block: Block) -> np.ndarray:
+        """What the buckets of contexts answered, for each place."""
+        values = np.zeros(len(self.asked.totals), np.int64)
+        answers = [unpacked(r["totals"]) for r in rows_of(folder, block.part, block.block) if r["bucket"] // LEVEL == self.length]
+        if answers:
+            values[self.frequent()] = np.concatenate(answers)
+        return values[self.contexts]
+
 
 def ask(block: Block, keys: Callable[[int, int], bytes], buckets: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """Rows of what a block sends: keys and values of each bucket. ``keys`` packs those between two places."""
@@ -242,130 +316,122 @@ def ask(block: Block, keys: Callable[[int, int], bytes], buckets: np.ndarray, va
     })
 
 
-def send_words(block: Block) -> pa.RecordBatch:
+def steps_of(keys: np.ndarray) -> Callable[[int, int], bytes]:
+    return lambda a, b: packed(np.diff(keys[a:b], prepend=np.uint64(0)))
+
+
+def send_words(block: Block) -> Iterator[pa.RecordBatch]:
     order, buckets = block.asked_words()
     local = np.bincount(block.codes[block.learns], minlength=len(block.words))[order]
-    return ask(block, lambda a, b: zlib.compress(b"\n".join(block.words[i] for i in order[a:b]), 1), buckets, local)
+    yield ask(block, lambda a, b: zlib.compress(b"\n".join(block.words[i] for i in order[a:b]), 1), buckets, local)
 
 
-def send_grams(block: Block) -> pa.RecordBatch:
+def send_grams(block: Block) -> Iterator[pa.RecordBatch]:
     block.know_words()
-    for which in range(len(block.model.grams)):
-        block.know_level(which)
+    for _ in block.model.grams:
+        block.know_level()
     at, _, _, distinct, number = block.level()
     local = np.bincount(number[block.learns[at]], minlength=len(distinct)).astype(np.int64)
-    steps = lambda a, b: packed(np.diff(distinct[a:b], prepend=np.uint64(0)))
-    return ask(block, steps, bucket_of(distinct, block.model.gram_buckets), local)
-
+    yield ask(block, steps_of(distinct), bucket_of(distinct, block.model.gram_buckets), local)
 
-def contexts_of(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length: places, occurrences of the context, its hash, and occurrences of the n-gram."""
-    for which in range(block.model.depth):
-        at, seen, contexts, found = block.know_level(which)
-        # Contexts of different lengths are told apart by one more step.
-        yield at, seen, joined(contexts, np.full(len(at), which + 1, np.uint64)), found
 
+def send_contexts(block: Block, level: Level, values: np.ndarray) -> pa.RecordBatch:
+    """``values`` for each asked n-gram, sent for those that are contexts."""
+    known = level.frequent()
+    buckets = level.length * LEVEL + level.asked.bucket[known]
+    return ask(block, steps_of(level.asked.number[known].astype(np.uint64)), buckets, values[known])
 
-def context_keys(levels: list[tuple]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct contexts of all lengths in order, and for each length which of them stands at each place."""
-    distinct, number = ranked(np.concatenate([c for _, _, c, _ in levels]))
-    return distinct, np.split(number, np.cumsum([len(at) for at, _, _, _ in levels])[:-1])
 
-
-def send_contexts(block: Block, distinct: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    steps = lambda a, b: packed(np.diff(distinct[a:b], prepend=np.uint64(0)))
-    return ask(block, steps, bucket_of(distinct, block.model.gram_buckets), values)
-
-
-def send_spreads(block: Block) -> pa.RecordBatch:
-    """Each occurrence of an n-gram counts as its share of all of them, so a context's sum is its distinct next words."""
+def send_spreads(block: Block) -> Iterator[pa.RecordBatch]:
+    """How many different words follow a context, counted by the owners of its n-grams."""
     block.know_words()
-    levels = list(contexts_of(block))
-    distinct, numbers = context_keys(levels)
-    total = np.zeros(len(distinct))
-    for (at, _, _, found), number in zip(levels, numbers, strict=True):
-        np.add.at(total, number, np.where(block.learns[at], 1.0 / np.maximum(found, 1), 0.0))
-    return send_contexts(block, distinct, total)
+    for level in block.contexts_of():
+        yield send_contexts(block, level, np.bincount(level.contexts[level.once()], minlength=len(level.asked.totals)))
 
 
-def send_gains(block: Block) -> pa.RecordBatch:
-    """Each context's gain over its suffix on this block, every occurrence left out of the counts that predict it."""
+def send_gains(block: Block) -> Iterator[pa.RecordBatch]:
+    """What a context gains over its suffix, every occurrence left out of the counts that predict it, summed by the
+    owners of its n-grams: all occurrences of one have the same."""
     p, back = block.root(), block.model.back
-    levels = list(contexts_of(block))
-    distinct, numbers = context_keys(levels)
-    spreads = answers_of(block.model.spreads, block.part, block.block)
-    total = np.zeros(len(distinct))
-    for (at, seen, _, found), number in zip(levels, numbers, strict=True):
-        q, spread = p[at], spreads[number] if len(at) else seen
+    for level in block.contexts_of():
+        spreads = level.spread_out(block.model.spreads, block)
+        q, weight = p[level.at], back * spreads
+        own = level.once()
+        own = own[level.seen[own] > 1]
+        found, seen = level.found[own], level.seen[own]
         # An n-gram that occurs once takes its word with it.
-        less = back * (spread - (found == 1))
-        left_out = (np.maximum(found - 1, 0) + less * q) / np.maximum(seen - 1 + less, 1e-300)
-        own = block.learns[at] & (seen > 1)
-        np.add.at(total, number[own], np.log10(left_out[own]) - np.log10(q[own]))
-        weight = back * spread
-        p[at] = (found + weight * q) / (seen + weight)
-    return send_contexts(block, distinct, total)
+        less = back * (spreads[own] - (found == 1))
+        gains = found * (np.log10((found - 1 + less * q[own]) / (seen - 1 + less)) - np.log10(q[own]))
+        total = np.zeros(len(level.asked.totals), np.int64)
+        np.add.at(total, level.contexts[own], np.rint(gains * FINE).astype(np.int64))
+        p[level.at] = (level.found + weight * q) / (level.seen + weight)
+        yield send_contexts(block, level, total)
 
 
-def score_block(block: Block) -> pa.RecordBatch:
+def score_block(block: Block) -> Iterator[pa.RecordBatch]:
     p, back = block.root(), block.model.back
     base = np.log10(p)
     known = block.counts > 0
-    levels = list(contexts_of(block))
-    _, numbers = context_keys(levels)
-    spreads, kept = (answers_of(folder, block.part, block.block) for folder in (block.model.spreads, block.model.kept))
     state = np.zeros(len(p), np.int64)
-    for length, ((at, seen, _, found), number) in enumerate(zip(levels, numbers, strict=True), 1):
-        if len(at):
-            here = kept[number] > 0
-            on, weight = at[here], back * spreads[number][here]
-            p[on] = (found[here] + weight * p[on]) / (seen[here] + weight)
-            state[on] = length
+    for level in block.contexts_of():
+        here = level.spread_out(block.model.kept, block) >= block.model.gain * FINE
+        on = level.at[here]
+        weight = back * level.spread_out(block.model.spreads, block)[here]
+        p[on] = (level.found[here] + weight * p[on]) / (level.seen[here] + weight)
+        state[on] = level.length
     add = lambda x: np.add.reduceat(x, block.starts)
-    return pa.RecordBatch.from_pydict({
+    yield pa.RecordBatch.from_pydict({
         "id": block.ids, "n_tokens": block.lengths, "n_known": add(known.astype(np.int64)), "base_score": add(base), "score": add(np.log10(p)),
         "n_in_context": add((state > 0).astype(np.int64)),
     })
 
 
-def each_block(blocks: DataFrame, model: Model, make: Callable[[Block], pa.RecordBatch], schema: str, ids: bool = False) -> DataFrame:
+def each_block(blocks: DataFrame, model: Model, make: Callable[[Block], Iterator[pa.RecordBatch]], schema: str, ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names) if c != "ids"}
                 if ids:
                     row["ids"] = batch.column(batch.schema.get_field_index("ids"))[i].values
-                yield make(Block(row, model))
+                yield from make(Block(row, model))
 
     return (blocks if ids else blocks.drop("ids")).mapInArrow(run, schema)
 
 
-def answered(asked: DataFrame, text: bool = False, sums: Callable[[np.ndarray], np.ndarray] | None = None) -> str:
-    """Buckets add up what blocks sent for equal keys and answer each block in its order. ``sums``: what is sent are
-    fractions, and the answers are made from their sums by it. The folder of the answers, by input split."""
+def answered(asked: DataFrame, least: int, text: bool = False) -> str:
+    """Buckets add up what blocks sent for equal keys and answer each block in its order. The folder of the answers, by
+    input split."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        # Blocks in order, so that sums of fractions come out alike at every run.
+        # Blocks in order: the first that holds a key owns it.
         table = table.take(pc.sort_indices(table.column("block")))
         raw = table.column("keys").to_pylist()
         if text:
-            keys = pa.array([w for r in raw for w in zlib.decompress(r).split(b"\n")], pa.large_binary())
+            words = pa.array([w for r in raw for w in zlib.decompress(r).split(b"\n")], pa.large_binary()).dictionary_encode()
+            place = np.empty(len(words.dictionary), np.int64)
+            place[pc.array_sort_indices(words.dictionary).to_numpy()] = np.arange(len(place))
+            number = place[words.indices.to_numpy()]
         else:
-            keys = pa.array(np.concatenate([np.cumsum(unpacked(r, np.uint64), dtype=np.uint64) for r in raw]))
-        numbers = keys.dictionary_encode()
-        number = numbers.indices.to_numpy()
-        values = np.concatenate([unpacked(v, np.int64 if sums is None else np.float64) for v in table.column("values").to_pylist()])
-        totals = np.zeros(len(numbers.dictionary), values.dtype)
+            _, number = ranked(np.concatenate([np.cumsum(unpacked(r, np.uint64), dtype=np.uint64) for r in raw]))
+        values = np.concatenate([unpacked(v) for v in table.column("values").to_pylist()])
+        totals = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
         np.add.at(totals, number, values)
+        held = np.flatnonzero(values > 0)
+        owner = np.zeros(len(values), bool)
+        first = np.full(len(totals), len(values))
+        np.minimum.at(first, number[held], held)
+        owner[first[first < len(values)]] = True
+        # Keys in order have ascending numbers, and so do the keys of each block.
+        frequent = np.cumsum(totals >= least) - 1
+        cuts = np.cumsum(table.column("n").to_numpy())[:-1]
+        parts = list(zip(np.split(number, cuts), np.split(owner, cuts)))
         known = int((totals > 0).sum())
-        if sums is not None:
-            totals = sums(totals).astype(np.int64)
-        ends = np.cumsum(table.column("n").to_numpy())
-        parts = np.split(totals[number], ends[:-1])
-        n = table.num_rows
         return pa.table({
-            "part": table.column("part"), "block": table.column("block"), "bucket": table.column("bucket"), "n": table.column("n"),
-            "totals": pa.array([packed(p) for p in parts], pa.binary()), "known": pa.array([known] + [0] * (n - 1), pa.int64()),
+            "part": table.column("part"), "block": table.column("block"), "bucket": table.column("bucket"),
+            "totals": pa.array([packed(totals[n]) for n, _ in parts], pa.binary()),
+            "owned": pa.array([zlib.compress(np.packbits(o).tobytes(), 1) for _, o in parts], pa.binary()),
+            "numbers": pa.array([packed(np.diff(frequent[n[totals[n] >= least]], prepend=0)) for n, _ in parts], pa.binary()),
+            "known": pa.array([known] + [0] * (table.num_rows - 1), pa.int64()),
         })
 
     folder = common.shared_folder(asked.sparkSession, "answers")
@@ -383,13 +449,13 @@ def score(
     sizes = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum("n_words").alias("words"), F.sum("n_learned").alias("learned")).first()
     tokens, words, learned = sizes["tokens"] or 0, sizes["words"] or 0, sizes["learned"] or 0
     model = Model(depth, max(1, least), back, gain, max(1, -(-words // WORDS)), max(1, -(-tokens // GRAMS)), learned)
-    model.words = answered(each_block(blocks, model, send_words, ASKED), text=True)
+    model.words = answered(each_block(blocks, model, send_words, ASKED), model.least, text=True)
     answers = spark.read.schema(ANSWERS).parquet(model.words)
     model.distinct = answers.agg(F.sum("known").alias("v")).first()["v"] or 0
     for _ in range(depth):
-        model.grams += (answered(each_block(blocks, model, send_grams, ASKED)),)
-    model.spreads = answered(each_block(blocks, model, send_spreads, ASKED), sums=np.rint)
-    model.kept = answered(each_block(blocks, model, send_gains, ASKED), sums=lambda total: total >= gain)
+        model.grams += (answered(each_block(blocks, model, send_grams, ASKED), model.least),)
+    model.spreads = answered(each_block(blocks, model, send_spreads, ASKED), model.least)
+    model.kept = answered(each_block(blocks, model, send_gains, ASKED), model.least)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, n_known long, base_score double, score double, n_in_context long"
     return each_block(blocks, model, score_block, schema, ids=True).withColumn("train_tokens", F.lit(learned).cast("long"))
