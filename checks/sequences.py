@@ -9,6 +9,8 @@ from checks.registry import query, spread, table
 from strandline.functions import strings as T
 from strandline.operators import compare as V
 from strandline.operators import kmers as K
+from strandline.operators import paths as Pa
+from strandline.operators import pruning as Pr
 from strandline.operators import scoring as S
 
 # --- documents as sequences: letters onto bases by a fixed table, anything else is N ---
@@ -66,11 +68,91 @@ def _graph(spark, sf):
     return K.kmer_edges(r, ["k"], "runs", 5)
 
 
-@query("low_weight_prune")
+_WHOLE = READS.replace("{", "{{").replace("}", "}}") + ", w AS (SELECT k, substr(seq, i, {n}) AS w FROM (SELECT k, seq, unnest(generate_series(1, n - {n} + 1)) AS i FROM reads WHERE n >= {n}))"
+
+
+def _chains_sql(k: int, masked: bool = True, least: int = 1) -> str:
+    """Edges of the k-mer graphs with the chain they lie on; cycles that nothing enters or leaves have their least edge."""
+    return f"""{_EDGES if masked else _WHOLE.format(n=k + 1)},
+  e AS MATERIALIZED (SELECT k, left(w, {k}) AS src, right(w, {k}) AS dst, count(*) AS support FROM w GROUP BY ALL HAVING count(*) >= {least}),
+  ou AS (SELECT k, src AS node, count(*) AS o, sum(support) AS s FROM e GROUP BY ALL), i_ AS (SELECT k, dst AS node, count(*) AS i, sum(support) AS s FROM e GROUP BY ALL),
+  th AS MATERIALIZED (SELECT ou.k, ou.node FROM ou JOIN i_ ON ou.k = i_.k AND ou.node = i_.node WHERE o = 1 AND i = 1),
+  ch AS (SELECT e.*, src || '>' || dst AS chain, 1 AS no FROM e ANTI JOIN th ON e.k = th.k AND e.src = th.node
+    UNION ALL SELECT e.k, e.src, e.dst, e.support, chain, no + 1 FROM ch JOIN th ON ch.k = th.k AND ch.dst = th.node JOIN e ON e.k = ch.k AND e.src = ch.dst),
+  lo AS (SELECT e.* FROM e ANTI JOIN ch ON e.k = ch.k AND e.src = ch.src AND e.dst = ch.dst),
+  cy AS (SELECT k, src, dst, support, src AS a, dst AS at FROM lo UNION SELECT cy.k, cy.src, cy.dst, cy.support, cy.a, lo.dst FROM cy JOIN lo ON cy.k = lo.k AND cy.at = lo.src),
+  cc AS (SELECT cy.k, cy.src, cy.dst, cy.support, min(lo.src || '>' || lo.dst) AS chain FROM cy JOIN lo ON lo.k = cy.k AND lo.src = cy.at GROUP BY ALL),
+  al AS MATERIALIZED (SELECT k, src, dst, support, chain, no FROM ch UNION ALL SELECT k, src, dst, support, chain, 1 FROM cc)"""
+
+
+@query("low_weight_prune", f"WITH RECURSIVE {_chains_sql(5)} SELECT k, src, dst, support FROM al QUALIFY max(support) OVER (PARTITION BY k, chain) >= 2")
 def _(spark, sf):
     return K.low_weight_prune(_graph(spark, sf), ["k"])
 
 
+def _llr(others: str, own: str, q: str) -> str:
+    """The odds of an end; harmonic numbers stand for the digamma function."""
+    e = f"pow(10, -{q} / 10.0)"
+    tilt = f"exp(list_sum(list_transform(range(0, CAST({others} AS BIGINT) + 1), lambda x: CASE WHEN x = 0 THEN 0.0 ELSE 1.0 / x END)) - list_sum(list_transform(range(0, CAST({own} AS BIGINT) + 1), lambda x: CASE WHEN x = 0 THEN 0.0 ELSE 1.0 / x END)))"
+    z = f"((1 - {e}) / (1 - {e} + {e} * {tilt}))"
+    spread = f"CASE WHEN {z} <= 0 OR {z} >= 1 THEN 0 ELSE -{z} * ln({z}) - (1 - {z}) * ln(1 - {z}) END"
+    n = f"({others} + {own})"
+    return f"({z} * (ln(1 - {e}) - ln({e})) + {spread} - ln({n} + 1.0) - (lgamma({n} + 1) - lgamma({own} + 1) - lgamma({others} + 1)))"
+
+
+def _good_sql(name: str, rate: str) -> str:
+    """Chains to keep at a rate of each region: ``name`` (k, chain)."""
+    return f"""{name}_q AS (SELECT k, least(254, greatest(0, round(-10 * log10(greatest(rate, 1e-300))))) AS q FROM ({rate})),
+  {name}_t AS MATERIALIZED (SELECT tb.*, CASE WHEN source THEN 0 WHEN q = 0 THEN -99 ELSE {_llr('(lt - head)', 'head', 'q')} END AS l, CASE WHEN sink THEN 0 WHEN q = 0 THEN -99 ELSE {_llr('(rt - tail)', 'tail', 'q')} END AS r FROM tb JOIN {name}_q USING (k)),
+  {name}_w AS MATERIALIZED (SELECT k, fi AS v, chain, fi, la FROM {name}_t WHERE l >= -20 UNION ALL SELECT k, la, chain, fi, la FROM {name}_t WHERE r >= -20),
+  {name}_h AS (SELECT k, arg_max((chain, fi, la), (top, n, fi, chain)) AS h FROM {name}_t GROUP BY k),
+  {name}_s AS (SELECT k, v FROM (SELECT k, unnest([fi, la]) AS v FROM {name}_t WHERE l >= 0 AND r >= 0) GROUP BY k, v HAVING count(*) > 2),
+  {name}_r AS (SELECT k, unnest([h[2], h[3]]) AS v FROM {name}_h UNION SELECT k, v FROM {name}_s UNION
+    SELECT x.k, unnest([x.fi, x.la]) FROM {name}_r r JOIN {name}_w x ON r.k = x.k AND r.v = x.v),
+  {name} AS MATERIALIZED (SELECT DISTINCT x.k, chain FROM {name}_w x JOIN {name}_r r ON r.k = x.k AND r.v = x.v UNION SELECT k, h[1] FROM {name}_h)"""
+
+
+_ADAPTIVE = f"""{_chains_sql(11, False, 2)},
+  tb AS MATERIALIZED (SELECT c.*, lt, rt, i1.node IS NULL AS source, o2.node IS NULL AS sink FROM (
+      SELECT k, chain, split_part(chain, '>', 1) AS fi, max(support) FILTER (src || '>' || dst = chain) AS head, max(support) AS top, count(*) AS n, sum(support) AS mass,
+        max((dst, support)) FILTER (mid IS NULL OR dst = split_part(chain, '>', 1)) AS tl, tl[1] AS la, tl[2] AS tail
+      FROM (SELECT al.*, th.node AS mid FROM al LEFT JOIN th ON al.k = th.k AND al.dst = th.node) GROUP BY k, chain) c
+    JOIN (SELECT k, node, s AS lt FROM ou) o1 ON o1.k = c.k AND o1.node = fi LEFT JOIN i_ i1 ON i1.k = c.k AND i1.node = fi
+    JOIN (SELECT k, node, s AS rt FROM i_) i2 ON i2.k = c.k AND i2.node = la LEFT JOIN ou o2 ON o2.k = c.k AND o2.node = la),
+  {_good_sql('g1', 'SELECT DISTINCT k, 0.001 AS rate FROM tb')},
+  rt AS (SELECT tb.k, coalesce(sum(mass) FILTER (g1.chain IS NULL), 0) / sum(mass) AS rate FROM tb LEFT JOIN g1 ON tb.k = g1.k AND tb.chain = g1.chain GROUP BY tb.k),
+  {_good_sql('g2', 'SELECT k, rate FROM rt')}"""
+
+
+@query("adaptive_prune", f"WITH RECURSIVE {_ADAPTIVE} SELECT k, src, dst, support FROM al SEMI JOIN g2 ON al.k = g2.k AND al.chain = g2.chain")
+def _(spark, sf):
+    """The reads of every supplier as a graph of 11-mers, without the chains that are likely errors. Every 23rd base
+    is one: windows seen once are left out before, and the bounds are wider than the defaults."""
+    r = reads(spark, sf).select("k", F.array("seq").alias("runs"))
+    return Pr.adaptive_prune(K.kmer_edges(r, ["k"], "runs", 11).where("support >= 2"), ["k"], log_odds=-20.0, seed_log_odds=0.0)
+
+
+_STEPS = """n AS (SELECT l_orderkey AS ok, l_linenumber AS ln, l_suppkey % 20 AS k, l_linenumber || chr(97 + CAST(l_partkey % 3 AS INT)) AS node FROM lineitem),
+  e AS (SELECT a.k, a.node AS src, b.node AS dst, count(*) AS support FROM n a JOIN n b ON a.ok = b.ok AND b.ln = a.ln + 1 GROUP BY ALL),
+  c AS (SELECT k, src, dst, log10(support / sum(support) OVER (PARTITION BY k, src)) AS c FROM e),
+  p AS (SELECT DISTINCT k, '1a' AS node, '1a' AS path, 0.0::DOUBLE AS score FROM e UNION ALL SELECT p.k, dst, path || right(dst, 1), score + c FROM p JOIN c ON p.k = c.k AND p.node = src)"""
+
+
+@query("k_best_paths", f"""WITH RECURSIVE {_STEPS} SELECT k, path, round(score, 6) AS score, row_number() OVER (PARTITION BY k ORDER BY round(score, 10) DESC, path) AS rank
+  FROM p WHERE node = '7b' QUALIFY rank <= 8""")
+def _(spark, sf):
+    """The steps from line to line of all orders as a graph for each of twenty groups of suppliers."""
+    n = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("ok"), F.col("l_linenumber").alias("ln"), (F.col("l_suppkey") % 20).alias("k"),
+        F.concat(F.col("l_linenumber").cast("string"), F.char(F.lit(97) + F.col("l_partkey") % 3)).alias("node"),
+    )
+    b = n.select("ok", (F.col("ln") - 1).alias("ln"), F.col("node").alias("dst"))
+    e = n.join(b, ["ok", "ln"]).groupBy("k", F.col("node").alias("src"), "dst").agg(F.count(F.lit(1)).alias("support"))
+    ends = e.select("k", F.lit("1a").alias("source"), F.lit("7b").alias("sink")).distinct()
+    p = Pa.k_best_paths(e, ends, ["k"], k=8)
+    return p.select("k", "path", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("homopolymer_run", f"WITH {DNA} SELECT doc_id, list_max(list_transform(regexp_extract_all(seq, 'A+|C+|G+|T+|N+'), lambda x: length(x))) AS longest FROM dna")
 def _(spark, sf):
     return dna(spark, sf).select("doc_id", K.longest_homopolymer(F.col("seq")).cast("long").alias("longest"))

@@ -79,7 +79,7 @@ def test_edges_and_best_paths(spark):
     e = K.kmer_edges(reads, ["region"], "runs", 3)
     assert {(r.src, r.dst): r.support for r in e.collect()} == {("ACG", "CGT"): 5, ("CGT", "GTT"): 3, ("CGT", "GTA"): 2}
     ends = spark.createDataFrame([(1, "ACG", "GTT"), (1, "ACG", "GTA")], "region int, source string, sink string")
-    p = K.k_best_paths(e, ends, ["region"], k=4, checkpoint_every=2).dropDuplicates(["path"]).orderBy("path").collect()
+    p = K.k_best_paths(e, ends, ["region"], k=4).dropDuplicates(["path"]).orderBy("path").collect()
     assert [(r.path, round(r.score, 6)) for r in p] == [("ACGTA", round(math.log10(0.4), 6)), ("ACGTT", round(math.log10(0.6), 6))]
 
 
@@ -361,3 +361,28 @@ def test_no_comparison_with_nan_holds(spark):
     df = spark.createDataFrame([(float("nan"),), (70.0,)], "FS double")
     rules = [("FS > 60", "high"), ("FS != 5", "other")]
     assert [r.filters for r in hard_filter(df, rules).collect()] == [["PASS"], ["high", "other"]]
+
+
+def test_adaptive_prune_follows_the_heavy_chain(spark):
+    from strandline.operators.pruning import adaptive_prune
+
+    # A heavy way s-a-b-c-e-t, a bubble over d seen once, and a cycle p-q that nothing reaches.
+    rows = [("s", "a", 50), ("a", "b", 50), ("b", "c", 49), ("b", "d", 1), ("c", "e", 49), ("d", "e", 1), ("e", "t", 50), ("p", "q", 1), ("q", "p", 1)]
+    e = spark.createDataFrame([(1, *r) for r in rows] + [(2, "s", "a", 3)], "g int, src string, dst string, support long")
+    kept = {(r.g, r.src, r.dst) for r in adaptive_prune(e, ["g"], log_odds=-6.0).collect()}
+    assert (2, "s", "a") in kept and {(1, "s", "a"), (1, "a", "b"), (1, "e", "t"), (1, "b", "c"), (1, "c", "e")} <= kept
+    assert not kept & {(1, "p", "q"), (1, "q", "p")}
+    assert {(r.g, r.src) for r in adaptive_prune(e, ["g"]).collect() if r.g == 2} == {(2, "s")}
+
+
+def test_paths_with_ties_and_cycles(spark):
+    from strandline.operators.paths import k_best_paths
+
+    # Two equal ways to t, and a loop at c that may be walked any number of times.
+    rows = [("s", "a", 1), ("s", "b", 1), ("a", "c", 2), ("b", "c", 2), ("c", "c", 1), ("c", "t", 1)]
+    e = spark.createDataFrame([(1, *r) for r in rows], "g int, src string, dst string, support long")
+    ends = spark.createDataFrame([(1, "s", "t")], "g int, source string, sink string")
+    p = k_best_paths(e, ends, ["g"], k=5).orderBy("rank").collect()
+    assert [(r.path, round(r.score, 6)) for r in p] == [
+        (path, round(math.log10(x), 6)) for path, x in (("sact", 0.25), ("sbct", 0.25), ("sacct", 0.125), ("sbcct", 0.125), ("saccct", 0.0625))
+    ]
