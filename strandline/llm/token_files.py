@@ -45,7 +45,8 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words (runs without
     ASCII white space) one after the other. Words of ASCII are lowered first, as the tokenizer does itself, and a
-    closing full stop or comma after a letter, which is a token boundary, is encoded on its own.
+    closing full stop or comma after a letter, which is a token boundary, is encoded on its own. The tokenizer's special
+    strings are its ids wherever they stand in a text, exactly as written: they are cut out as words of their own first.
     """
 
     held: dict[str, WordEncoder] = {}
@@ -58,7 +59,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.closes[number] = token.endswith("</w>")
@@ -86,6 +87,8 @@ class WordEncoder:
         stems, parts = {}, []
         for word in words:
             low = word.lower() if word.isascii() else word
+            if b"|" in low and low != word and any(t.encode() in low for t in self.special):
+                low = word  # a special string only once lowered is ordinary text
             tail = low[-1:] if low[-1:] in tails and low[-2:-1].isalpha() and low.isascii() else b""
             stem = low[: len(low) - len(tail)]
             parts.append((stems.setdefault(stem, len(stems)), tail))
@@ -118,20 +121,31 @@ class WordEncoder:
             out[i] = e.ids
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, and how many each has."""
-        split = [common.words_only(t) if t else [] for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has. Arrow splits the texts and numbers their words, so Python sees
+        each distinct word of the texts once."""
+        for token in self.special:
+            if pc.any(pc.match_substring(texts, token)).as_py():
+                texts = pc.replace_substring(texts, token, f" {token} ")
+        split = pc.ascii_split_whitespace(texts)
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        pieces = split.flatten()
+        full = pc.greater(pc.binary_length(pieces), 0)
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[full.to_numpy(zero_copy_only=False)], minlength=len(sizes))
+        coded = pieces.filter(full).cast(pa.binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.number) > CACHED_WORDS:
             self.shrink()
-        number, words = self.number, set(chain.from_iterable(split))
-        new = [w for w in words if w not in number]
-        self.again |= words.difference(new)
+        number = self.number
+        known = [number.get(w) for w in words]
+        new = [w for w, n in zip(words, known, strict=True) if n is None]
+        self.again.update(w for w, n in zip(words, known, strict=True) if n is not None)
         if new:
             self.learn(new)
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        places = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if not len(places):
+            known = [number[w] for w in words]
+        if not words:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
+        places = np.array(known, np.int64)[coded.indices.to_numpy()]
         ids = pc.take(self.table, pa.array(places)).flatten().to_numpy()
         ends = np.concatenate([[0], np.cumsum(np.diff(self.offsets[0])[places])])
         edges = np.concatenate([[0], np.cumsum(counts)])
@@ -226,7 +240,7 @@ def write_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_i
         with system.open_output_stream(draft) as sink, system.open_output_stream(index_draft) as beside:
             out, lines = SequenceWriter(sink, length, encoder.dtype), pa.ipc.new_stream(beside, INDEX)
             for batch in common.batches_of(batches, "text", 4_000_000):
-                ids, sizes = encoder.encode(batch.column(1).to_pylist())
+                ids, sizes = encoder.encode(batch.column(1))
                 out.write(with_ends(ids, sizes, end_id))
                 lines.write_batch(pa.record_batch([batch.column(0), pa.array(sizes + 1)], schema=INDEX))
                 docs, tokens = docs + batch.num_rows, tokens + len(ids) + batch.num_rows

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -13,9 +14,7 @@ WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(WORDS)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(WORDS)  # the library's defaults
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +35,16 @@ def test_files_hold_all_ids_in_order(manifest, rows, tokenizer):
     assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)]).tolist()[:-1]
 
 
+def test_special_strings_and_white_space(tokenizer):
+    texts = [
+        "a <|endoftext|> b", "word<|endoftext|>word.<|startoftext|>", "<|ENDOFTEXT|> <|EndOfText|>.", "<|endoftext|><|endoftext|>", "<|endof text|>", "\x1c\x85\u2028 a\u00a0b",
+        "", " \t\n", "A,B. C., d.e, Ünï. <|endoftext", "Don't WE'LL 3rd x2,", "e\u0301 \u0301e I\u0307",
+    ]
+    ids, sizes = token_files.WordEncoder(WORDS).encode(pa.array(texts))
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_random_access_is_a_view(manifest):
     for row in manifest.collect():
         held = token_files.SequenceFile(row.path)
