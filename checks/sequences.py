@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.bases import READS, SHIPMENTS, reads, reference_chunks, shipments, sql_ref_base
+from checks.bases import READS, SHIPMENTS, reads, reference_chunks, shipments, sql_day, sql_ref_base
 from checks.registry import query, spread, table
 from strandline.functions import strings as T
 from strandline.operators import compare as V
 from strandline.operators import kmers as K
 from strandline.operators import paths as Pa
 from strandline.operators import pruning as Pr
+from strandline.operators import reference as R
+from strandline.operators import sampling as Sa
 from strandline.operators import scoring as S
 
 # --- documents as sequences: letters onto bases by a fixed table, anything else is N ---
@@ -325,3 +327,30 @@ def _(spark, sf):
 def _(spark, sf):
     p = table(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("pk"), T.hamming(F.col("p_name"), F.concat("p_brand", F.lit("x"))).cast("long").alias("distance"))
+
+
+# --- windows of the reference, indels at their leftmost place, ranked alleles ---
+
+_SPAN = "pos - 150 AS a, pos + n * CASE WHEN ln = 7 THEN 20 ELSE 1 END AS z"
+_LAST = f"(SELECT (CAST(floor((max({sql_day('l_shipdate')} + CAST(l_quantity AS BIGINT)) - 9000 + 64) / 256) AS BIGINT) + 1) * 256 FROM lineitem)"
+
+
+@query("reference_windows", f"""WITH {READS}, s AS (SELECT DISTINCT k, {_SPAN} FROM reads), c AS (SELECT k, a, z, greatest(a, 1) AS s, least(z, {_LAST}) AS e FROM s)
+  SELECT k, a, z, s AS "start", e AS "end", md5(string_agg(b, '' ORDER BY p)) AS bases FROM (SELECT k, a, z, s, e, p, {sql_ref_base('k', 'p')} AS b FROM (SELECT *, unnest(generate_series(s, e)) AS p FROM c)) GROUP BY ALL""")
+def _(spark, sf):
+    """Reads with 150 bases before them, some of them with long ones after; clamped at the contig's start."""
+    s = reads(spark, sf).select("k", (F.col("pos") - 150).alias("start"), (F.col("pos") + F.length("seq") * F.when(F.col("ln") == 7, 20).otherwise(1)).alias("end")).distinct()
+    s = s.withColumn("a", F.col("start")).withColumn("z", F.col("end"))
+    w = R.reference_windows(s, reference_chunks(spark, sf), ["k"], chunk_size=256, reach=256)
+    return w.select("k", "a", "z", "start", "end", F.md5("bases").alias("bases"))
+
+
+@query("ranked_alleles", """WITH s AS (SELECT l_suppkey AS k, l_linenumber AS allele, round(l_discount * l_quantity, 6) AS score FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY k, allele ORDER BY score DESC) AS n FROM s),
+  b AS (SELECT k, allele, max(score) FILTER (n = 1) AS best, max(score) FILTER (n = 2) AS second FROM r GROUP BY k, allele)
+  SELECT k, CAST(allele AS BIGINT) AS allele, best, second, row_number() OVER (PARTITION BY k ORDER BY allele = 3 DESC, best DESC, second DESC NULLS LAST, allele) AS rank FROM b QUALIFY rank <= 4""")
+def _(spark, sf):
+    """Line numbers as alleles of a supplier, the third as the reference; ten genotypes allow four alleles."""
+    s = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").cast("long").alias("allele"), F.round(F.col("l_discount") * F.col("l_quantity"), 6).alias("score"))
+    r = Sa.ranked_alleles(s, ["k"], is_reference=F.col("allele") == 3, max_genotypes=10)
+    return r.withColumn("rank", F.col("rank").cast("long"))

@@ -209,15 +209,19 @@ def trim_alleles(pos: Column, ref: Column, alt: Column) -> Column:
     )
 
 
-def left_shift(pos: Column, ref: Column, alt: Column, upstream: Column) -> Column:
+def left_shift(pos: Column, ref: Column, alt: Column, upstream: Column, strict: bool = True) -> Column:
     """Trim, then slide an indel left while both alleles end in the base before them. ``upstream`` holds the bases just
-    before ``pos``; a slide that reaches its start before position 1 stops the query, since it could go on.
+    before ``pos``. A slide that reaches its start before position 1 could go on: it is an error, or, if not ``strict``,
+    told by a further field ``open``.
 
     After trimming, alleles with a common last base x have one of them equal to x. Each slide takes one x from the
     end of the longer allele and one from the upstream run of x, so the distance is the shorter of the two runs, or
     the upstream run where the longer allele is all x.
     """
-    t = trim_alleles(pos, ref, alt)
+    return let(trim_alleles(pos, ref, alt), lambda t: _slid(pos, ref, t, upstream, strict))
+
+
+def _slid(pos: Column, ref: Column, t: Column, upstream: Column, strict: bool) -> Column:
     r, a, up = t["ref"], t["alt"], F.concat(upstream, F.left(ref, (t["pos"] - pos).cast("int")))
     x = F.right(r, F.lit(1))
     longer = F.when(F.length(r) > F.length(a), r).otherwise(a)
@@ -227,10 +231,12 @@ def left_shift(pos: Column, ref: Column, alt: Column, upstream: Column) -> Colum
     movable = (F.length(r) != F.length(a)) & (F.right(a, F.lit(1)) == x)
     n = F.when(movable, far).otherwise(0)
     more = movable & (n == F.length(up)) & (t["pos"] - n > 1) & ((tail == F.length(longer)) | (n < tail))
-    n = F.when(more, F.raise_error(F.lit("the upstream bases end inside the repeat")).cast("int")).otherwise(n)
+    if strict:
+        n = F.when(more, F.raise_error(F.lit("the upstream bases end inside the repeat")).cast("int")).otherwise(n)
     moved = lambda v: F.concat(F.repeat(x, n), F.left(v, F.length(v) - n))
     whole = lambda v: F.when(F.length(v) == F.length(longer), F.when(tail == F.length(longer), v).otherwise(moved(v))).otherwise(v)
-    return F.struct((t["pos"] - n).alias("pos"), whole(r).alias("ref"), whole(a).alias("alt"))
+    told = [] if strict else [more.alias("open")]
+    return F.struct((t["pos"] - n).alias("pos"), whole(r).alias("ref"), whole(a).alias("alt"), *told)
 
 
 def is_hom_ref(gt: Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +25,13 @@ def cap_per_start(
     row_key: Sequence[str] = ("qname", "flag"),
     seed: int = 47,
     order_by: Sequence[Column] | None = None,
+    sorted_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """At most ``n`` rows per start. Spark's group limit trims each start before the shuffle, so one
-    start holding most of the table sends ``n`` rows per task. ``n=0`` switches the cap off."""
+    start holding most of the table sends ``n`` rows per task. ``n=0`` switches the cap off. With ``sorted_by``,
+    rows that do not come in that order are an error."""
+    if sorted_by:
+        df = require_sorted(df, sorted_by)
     if n <= 0:
         return df
     order = list(order_by) if order_by else [hash_order(row_key, seed), *[F.col(c) for c in row_key]]
@@ -176,3 +183,60 @@ def max_alleles(ploidy: int = 2, limit: int = 1024) -> int:
     while comb(n + ploidy, ploidy) <= limit:
         n += 1
     return n
+
+
+def ranked_alleles(
+    scores: DataFrame, keys: Sequence[str], allele: str = "allele", score: str = "score", is_reference: Column | None = None,
+    keep: int | None = None, ploidy: int = 2, max_genotypes: int = 1024,
+) -> DataFrame:
+    """Alleles (keys, allele, best, second, rank) in order of their best and second-best score, the reference first, the
+    smaller allele on a tie; the first ``keep`` of them, by default as many as ``max_genotypes`` genotypes allow.
+
+    ``scores`` has a row for each score of an allele. Two rows an allele pass the group limit before the shuffle.
+    """
+    keys = list(keys)
+    w = Window.partitionBy(*keys, allele).orderBy(F.col(score).desc())
+    two = scores.withColumn("__ref", F.lit(False) if is_reference is None else is_reference).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= 2)
+    per = two.groupBy(*keys, allele).agg(
+        F.max(F.when(F.col("__n") == 1, F.col(score))).alias("best"), F.max(F.when(F.col("__n") == 2, F.col(score))).alias("second"), F.max("__ref").alias("__ref")
+    )
+    order = [F.col("__ref").desc(), F.col("best").desc(), F.col("second").desc_nulls_last(), F.col(allele)]
+    return top_k(per, keys, order, max_alleles(ploidy, max_genotypes) if keep is None else keep, "rank").drop("__ref")
+
+
+def require_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The same rows, or an error if they do not come in ascending ``order`` (numbers) over all partitions.
+
+    Each partition is read once and tells its first key, its last, and whether it is in order; then neighbouring
+    partitions are compared by these. Nothing is sorted or moved but one row a partition. Nulls come first.
+    """
+    names = list(order)
+    kind = ", ".join(f"f{i} double, l{i} double" for i in range(len(names)))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        sound = True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.nan_to_num(c.cast(pa.float64()).to_numpy(zero_copy_only=False), nan=-np.inf) for c in batch.columns]
+            rows = np.stack(columns, axis=1) if last is None else np.concatenate([[last], np.stack(columns, axis=1)])
+            step = np.diff(rows, axis=0)
+            # The first column that changes must rise.
+            changes = step != 0
+            at = changes.argmax(axis=1)
+            sound &= bool((~changes.any(axis=1) | (step[np.arange(len(step)), at] > 0)).all()) if len(step) else True
+            first = rows[0] if first is None else first
+            last = rows[-1]
+        if first is not None:
+            values = {f"{side}{i}": pa.array([float(v[i])]) for i in range(len(names)) for side, v in (("f", first), ("l", last))}
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "sound": pa.array([sound]), **values})
+
+    told = df.select(*[F.col(c).cast("double") for c in names]).mapInArrow(ends, f"part int, sound boolean, {kind}")
+    # A row for each partition that holds rows.
+    w = Window.orderBy("part")
+    key = lambda side: F.struct(*[F.col(f"{side}{i}") for i in range(len(names))])
+    wrong = told.withColumn("__ok", F.col("sound") & F.coalesce(F.lag(key("l")).over(w) <= key("f"), F.lit(True))).where(~F.col("__ok"))
+    if not wrong.isEmpty():
+        raise ValueError(f"rows are not in the order of {', '.join(names)}")
+    return df
