@@ -358,11 +358,19 @@ def _(spark, sf):
     return _estimate(E.af_em_distributed(_many_alleles(spark, sf), ["pk"], prior=E.site_prior(F.col("alleles"))))
 
 
-@query("single_sample_none")
+@query("single_sample_none", f"""WITH RECURSIVE {_ARR}, v AS (SELECT DISTINCT list_transform(pl, lambda x: x / -10.0) AS gl, pl FROM a), pr AS (SELECT [10.0, 0.01, 0.01, 0.00125] AS prior),
+  em AS (SELECT pl, [gl] AS gls, prior, list_transform(prior, lambda x: log10(0.25)) AS la, [0.0::DOUBLE, 0.0, 0.0, 0.0] AS c, 0 AS it, false AS done FROM v, pr
+    UNION ALL
+    SELECT pl, gls, prior, list_transform(range(1, 5), lambda a: log10((prior[a] + new[a]) / (list_sum(prior) + list_sum(new)))), new, it + 1,
+      list_max(list_transform(range(1, 5), lambda a: abs(new[a] - c[a]))) <= 0.1 OR it + 1 > 100 FROM (
+      SELECT *, list_transform(range(0, 4), lambda a: list_sum(list_transform(w, lambda x: list_sum(list_transform(range(1, len(x) + 1), lambda p: x[p] * (CAST({_PI}[p] = a AS INT) + CAST({_PJ}[p] = a AS INT)))) / list_sum(x)))) AS new FROM (
+        SELECT *, {_GT} AS w FROM em WHERE NOT done))),
+  fin AS (SELECT pl, least(0, log10((w[1][1] + w[1][4] + w[1][6]) / list_sum(w[1]))) AS none FROM (SELECT *, {_GT} AS w FROM em WHERE done))
+  SELECT ok, ln, round(none, 6) + 0.0 AS log10_none FROM a JOIN fin ON a.pl = fin.pl""")
 def _(spark, sf):
     """P(no variant) of one sample over a reference, a SNP, a spanning deletion and a symbol, per line item. Equal
     likelihoods are computed once."""
     a = _arrays(spark, sf)
     alleles = F.array(*[F.lit(x) for x in ("A", "C", "*", G.NON_REF)])
     each = a.select("pl").distinct().select("pl", E.single_sample_log10_none(F.col("pl"), alleles).alias("v"))
-    return a.join(each, "pl").select("ok", "ln", F.round("v", 6).alias("log10_none"))
+    return a.join(each, "pl").select("ok", "ln", (F.round("v", 6) + 0.0).alias("log10_none"))

@@ -47,7 +47,14 @@ def _(spark, sf):
     return K.repeated_kmers(dna(spark, sf), ["doc_id"], "seq", 25).groupBy("doc_id").agg(F.count(F.lit(1)).alias("repeated"))
 
 
-@query("nearest_solid")
+def _three(name: str, source: str) -> str:
+    """K-mers of 25 by their three pieces, one of which two k-mers with at most two differences share."""
+    return f"{name} AS (SELECT lang, kmer, n, i, substr(kmer, 1 + 8 * CAST(i AS INT), CASE WHEN i = 2 THEN 9 ELSE 8 END) AS piece FROM {source}, range(3) t(i))"
+
+
+@query("nearest_solid", f"""WITH {DNA}, {_KC.format(k=25)}, {_three('r', '(SELECT * FROM kc WHERE n < 20)')}, {_three('g', '(SELECT * FROM kc WHERE n >= 20)')},
+  j AS (SELECT DISTINCT r.lang, r.kmer, g.kmer AS solid, g.n FROM r JOIN g ON r.lang = g.lang AND r.i = g.i AND r.piece = g.piece WHERE hamming(r.kmer, g.kmer) BETWEEN 1 AND 2)
+  SELECT lang, kmer, arg_min(solid, (-n, solid)) AS solid, max(n) AS solid_n FROM j GROUP BY lang, kmer""")
 def _(spark, sf):
     c = K.kmer_counts(dna(spark, sf), ["lang"], "seq", 25)
     return K.nearest_solid(c, ["lang"], 25)
