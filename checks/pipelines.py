@@ -21,7 +21,25 @@ def _inputs(spark, sf):
     return r, ref, spans
 
 
-@query("smoothed_activity")
+_PRIOR = ", ".join(f"(lgamma(3) - lgamma({n} + 1) - lgamma({2 - n} + 1) + lgamma({n} + 0.01) + lgamma({2 - n} + 10.0)) / ln(10)" for n in range(3))
+_SMOOTHED = f"""{OBS}, t AS (SELECT k, pos, is_alt, CASE WHEN is_deletion THEN 30 ELSE q END AS q, is_next_to_clip, hq FROM alt),
+  u AS (SELECT *, q >= 10 AS used, CASE WHEN q <= 0 THEN '-inf'::DOUBLE ELSE log10(1 - pow(10, -q / 10.0)) END AS a, -q / 10.0 - log10(3) AS b FROM t),
+  v AS (SELECT *, CASE WHEN is_alt THEN b ELSE a END AS rr, CASE WHEN is_alt THEN a ELSE b END AS aa FROM u),
+  h AS (SELECT *, greatest(rr, aa) + CASE WHEN abs(rr - aa) < 8 THEN log10(1 + pow(10, -(floor(abs(rr - aa) * 10000.0 + 0.5) / 10000.0))) ELSE 0 END AS hh FROM v),
+  g AS (SELECT k, pos, coalesce(sum(rr) FILTER (used), 0) AS g0, coalesce(sum(hh) FILTER (used), 0) - count(*) FILTER (used) * log10(2) AS g1, coalesce(sum(aa) FILTER (used), 0) AS g2,
+    avg(hq) FILTER (used AND is_alt AND is_next_to_clip) AS clip FROM h GROUP BY k, pos),
+  l AS (SELECT k, pos, clip, list_transform([g0, g1, g2], lambda x: floor(-10 * (x - greatest(g0, g1, g2)) + 0.5) / -10.0) AS gl FROM g),
+  o AS (SELECT *, list_transform([1, 2, 3], lambda i: gl[i] + [{_PRIOR}][i]) AS po FROM l),
+  pb AS (SELECT k, pos, CASE WHEN clip > 6 THEN floor(clip) END AS clip, CASE WHEN gl[1] >= list_max(gl) OR po[1] >= list_max(po) THEN 0.0
+    ELSE 1 - pow(10, po[1] - list_max(po)) / list_sum(list_transform(po, lambda x: pow(10, x - list_max(po)))) END AS prob FROM o),
+  sp AS (SELECT k, unnest(generate_series(min(pos), max(pos))) AS pos FROM reads GROUP BY k),
+  m AS (SELECT sp.k, sp.pos, coalesce(prob, 0) * CASE WHEN clip IS NULL THEN 1 ELSE sp.pos + least(clip, 60) - greatest(1, sp.pos - least(clip, 60)) + 1 END AS m FROM sp LEFT JOIN pb USING (k, pos)),
+  ma AS MATERIALIZED (SELECT * FROM m),
+  kn AS (SELECT t - 11 AS d, {KERNEL!r}[t] AS tap FROM range(1, 22) r(t))"""
+
+
+@query("smoothed_activity", f"""WITH {_SMOOTHED} SELECT contig, pos, round(smoothed, 6) AS smoothed
+  FROM (SELECT k AS contig, pos - d AS pos, sum(m * tap) AS smoothed FROM ma, kn GROUP BY ALL) x SEMI JOIN sp ON sp.k = x.contig AND sp.pos = x.pos""")
 def _(spark, sf):
     r, ref, spans = _inputs(spark, sf)
     s = P.smoothed_activity(r, ref, spans, chunk_size=256, kernel=KERNEL)
