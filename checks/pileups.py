@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bases import READS, _REF, reads, reference_chunks, sql_ref_base
+from checks.filters import _sql_rules
 from checks.ranks import rank_tests
 from checks.registry import query
 from strandline.operators import annotate as A
+from strandline.operators import filters as X
 from strandline.operators import likelihood as L
 from strandline.operators import pileup as P
 
@@ -201,3 +203,14 @@ def _(spark, sf):
     a = A.annotate_sites(observations(spark, sf, realigned=True), ["k", "pos"], F.expr("flag & 16 <> 0"), min_alt=3, min_samples=3)
     places = {"qual": 4, "af": 6, "excess_het": 4, "fs": 4, "sor": 5, "mleaf": 6, "mq": 5, "qd": 4, "base_q_rank_sum": 3, "mq_rank_sum": 3, "read_pos_rank_sum": 3, "inbreeding": 6}
     return a.select(*[(F.round(c, places[c]) + 0.0).alias(c) if c in places else F.col(c) for c in a.columns])
+
+
+@query(
+    "annotated_filters",
+    f"""WITH RECURSIVE {_ANNOTATED}, nm AS (SELECT k, pos, qd AS QD, qual AS QUAL, sor AS SOR, fs AS FS, mq AS MQ, mqr AS MQRankSum, rp AS ReadPosRankSum FROM an)
+    SELECT k, pos, {_sql_rules(X.SNP_RULES)} AS filters FROM nm""",
+)
+def _(spark, sf):
+    """The filter presets fed from reads: annotations of the same sites under the rules for single bases."""
+    a = A.annotate_sites(observations(spark, sf, realigned=True), ["k", "pos"], F.expr("flag & 16 <> 0"), min_alt=3, min_samples=3)
+    return X.hard_filter(A.as_rule_names(a), X.SNP_RULES).select("k", "pos", F.array_join("filters", ";").alias("filters"))
