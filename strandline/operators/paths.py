@@ -13,7 +13,7 @@ from strandline.session import checkpoint, written
 MAX_PATHS = 128  # fixed value: paths kept for a region
 
 
-def k_best_paths(edges: DataFrame, ends: DataFrame, keys: Sequence[str], k: int = MAX_PATHS, checkpoint_every: int = 4) -> DataFrame:
+def k_best_paths(edges: DataFrame, ends: DataFrame, keys: Sequence[str], k: int = MAX_PATHS, settle_every: int = 4) -> DataFrame:
     """Best ``k`` paths per region from ``ends`` (keys, source, sink): ``path``, ``score`` and ``rank``.
 
     Every round extends the arrivals of the round before by one edge. An arrival is a node, its score and a pointer to the
@@ -38,29 +38,31 @@ def k_best_paths(edges: DataFrame, ends: DataFrame, keys: Sequence[str], k: int
     )
     frontier = checkpoint(start)
     rounds = [frontier]
-    best = settled = frontier.select(*keys, "node", F.array("score").alias("scores"))
+    settled, recent = frontier.select(*keys, "node", F.array("score").alias("scores")), []
+
+    def best() -> DataFrame:
+        """The best scores of each node so far: those settled, and the arrivals since."""
+        single = settled.select(*keys, "node", F.explode("scores").alias("score"))
+        both = reduce(DataFrame.unionByName, [r.select(*keys, "node", "score") for r in recent], single)
+        return both.groupBy(*keys, "node").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("scores"))
+
     step = 0
     while True:
-        fresh: list[DataFrame] = []
-        for _ in range(checkpoint_every):
-            step += 1
-            grown = frontier.join(cost, [*keys, "node"]).select(
-                *keys, F.col("dst").alias("node"), (F.col("score") + F.col("c")).alias("score"), F.lit(step).alias("step"), F.col("place").alias("back"),
-            )
-            held = grown.join(best, [*keys, "node"], "left")
-            ahead = F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda s: s >= F.col("score")))
-            rank = F.row_number().over(Window.partitionBy(*keys, "node").orderBy(F.col("score").desc(), "back"))
-            kept = held.withColumn("__rank", rank + ahead).where(F.col("__rank") <= k).withColumn("__before", F.col("back"))
-            frontier = kept.withColumn("place", F.row_number().over(texts)).select(*keys, "node", "score", "step", "back", "place")
-            fresh.append(frontier)
-            more = best.select(*keys, "node", F.explode("scores").alias("score")).unionByName(frontier.select(*keys, "node", "score"))
-            best = more.groupBy(*keys, "node").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("scores"))
-        rounds.append(checkpoint(reduce(DataFrame.unionByName, fresh)))
-        frontier = rounds[-1].where(F.col("step") == step)
+        step += 1
+        grown = frontier.join(cost, [*keys, "node"]).select(
+            *keys, F.col("dst").alias("node"), (F.col("score") + F.col("c")).alias("score"), F.lit(step).alias("step"), F.col("place").alias("back"),
+        )
+        held = grown.join(best() if recent else settled, [*keys, "node"], "left")
+        ahead = F.size(F.filter(F.coalesce("scores", F.array().cast("array<double>")), lambda s: s >= F.col("score")))
+        rank = F.row_number().over(Window.partitionBy(*keys, "node").orderBy(F.col("score").desc(), "back"))
+        kept = held.withColumn("__rank", rank + ahead).where(F.col("__rank") <= k).withColumn("__before", F.col("back"))
+        frontier = checkpoint(kept.withColumn("place", F.row_number().over(texts)).select(*keys, "node", "score", "step", "back", "place"))
         if frontier.isEmpty():
             break
-        more = settled.select(*keys, "node", F.explode("scores").alias("score")).unionByName(rounds[-1].select(*keys, "node", "score"))
-        best = settled = checkpoint(more.groupBy(*keys, "node").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, k).alias("scores")))
+        rounds.append(frontier)
+        recent.append(frontier)
+        if len(recent) == settle_every:
+            settled, recent = checkpoint(best()), []
     arrivals = written(reduce(DataFrame.unionByName, rounds), "arrivals")
     goal = ends.select(*keys, F.col("sink").alias("node")).distinct()
     done = arrivals.join(goal, [*keys, "node"], "left_semi")

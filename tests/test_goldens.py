@@ -345,7 +345,7 @@ def test_left_shift_as_far_as_it_goes(spark):
 
 
 def test_best_paths_past_any_length_and_round_cycles(spark):
-    n = 60
+    n = 30
     line = [(1, f"a{i:03d}", f"a{i + 1:03d}", 1) for i in range(n)]
     cycle = [(2, "x", "y", 1), (2, "y", "x", 1), (2, "y", "z", 3)]
     e = spark.createDataFrame(line + cycle, "region int, src string, dst string, support int")
