@@ -118,12 +118,13 @@ def segment(
     pad: int = REGION_PAD,
     length: Column | None = None,
     block: int = BLOCK,
+    cut_active: bool = True,
 ) -> DataFrame:
     """Active and inactive regions ``start, end, is_active, padded_start, padded_end``.
 
     Inactive runs are cut every ``max_size`` and short active runs kept: arithmetic on islands. An active
     run of at least ``max_size`` is cut at its lowest local minimum, each cut depending on the one before;
-    those runs go through ``_cut_long``.
+    those runs go through ``_cut_long``. Without ``cut_active`` every active run stays one region.
     """
     keys = list(keys)
     src = df.select(*keys, F.col(pos).cast("long").alias("pos"), F.col(prob).cast("double").alias("p"))
@@ -132,7 +133,7 @@ def segment(
         src, keys, "pos", same=F.col("prev_is_active") == F.col("is_active"), carry=["is_active"],
         aggs={"is_active": ("max", "is_active")}, block=block,
     )
-    long_active = F.col("is_active") & (F.col("end") - F.col("start") + 1 >= max_size)
+    long_active = F.col("is_active") & (F.col("end") - F.col("start") + 1 >= max_size) if cut_active else F.lit(False)
     step = F.when(F.col("is_active"), F.col("end") - F.col("start") + 1).otherwise(F.lit(max_size).cast("long"))
     plain = (
         runs.where(~long_active)
@@ -140,9 +141,11 @@ def segment(
         .withColumn("start", F.explode(F.sequence(F.col("start"), F.col("end"), step)))
         .select(*keys, "start", F.least(F.col("start") + step - 1, F.col("__end")).alias("end"), "is_active")
     )
-    longs = runs.where(long_active).select(*keys, F.col("start").alias("run"), F.col("end").alias("run_end"))
-    cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, max(min(block, 1 << 14), max_size + 1))
-    both = plain.unionByName(cuts.withColumn("is_active", F.lit(True)))
+    both = plain
+    if cut_active:
+        longs = runs.where(long_active).select(*keys, F.col("start").alias("run"), F.col("end").alias("run_end"))
+        cuts = _cut_long(src.select(*keys, "pos", "p"), longs, keys, min_size, max_size, max(min(block, 1 << 14), max_size + 1))
+        both = plain.unionByName(cuts.withColumn("is_active", F.lit(True)))
     hi = F.col("end") + pad if length is None else F.least(length, F.col("end") + pad)
     return both.select(
         "*", F.greatest(F.lit(1).cast("long"), F.col("start") - pad).alias("padded_start"), hi.cast("long").alias("padded_end")

@@ -55,3 +55,20 @@ def test_lone_names_pass(spark, small):
     ):
         a, b = (sorted(map(tuple, x.select(obs.columns).collect()), key=repr) for x in (with_lone, without))
         assert a == b
+
+
+def test_long_active_runs_stay_whole_in_islands(spark, tmp_path):
+    """Events in every hour, more than two each: one active run far longer than a region, as the SQL has it."""
+    from checks import ORACLES
+    from checks.run import compare
+
+    hours = spark.range(700).select(F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"), "id")
+    events = hours.select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 3600).alias("ts"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"))
+    events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("set timezone = 'UTC'")
+    con.execute(f"create view events as select * replace (ts::timestamp as ts) from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    status, n, *_, note = compare(spark, con, "segment_islands", QUERIES["segment_islands"], ORACLES["segment_islands"], str(tmp_path))
+    assert (status, n) == ("ok", 1), note
