@@ -72,3 +72,19 @@ def test_long_active_runs_stay_whole_in_islands(spark, tmp_path):
     con.execute(f"create view events as select * replace (ts::timestamp as ts) from read_parquet('{tmp_path}/events.parquet/*.parquet')")
     status, n, *_, note = compare(spark, con, "segment_islands", QUERIES["segment_islands"], ORACLES["segment_islands"], str(tmp_path))
     assert (status, n) == ("ok", 1), note
+
+
+def test_repeated_kmers_in_their_row(spark, monkeypatch):
+    """Single rows, keys of several rows, long, short and null sequences against grouping of all windows."""
+    from strandline.operators import kmers as K
+
+    rows = [(1, "ACGT" * 90 + "TTT"), (2, "ACGTACG"), (2, "ACGTA"), (3, "AC"), (4, None), (5, "A" * 400), (6, "AACCGGTT"), (None, "GTGTGT"), (7, "ACG" * 200)]
+    df = spark.createDataFrame(rows, "d long, seq string")
+    monkeypatch.setattr(K, "WHOLE", 500)
+    got = K.repeated_kmers(df, ["d"], "seq", 4)
+    want = K.kmer_counts(df, ["d"], "seq", 4).where("n > 1")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # Only the rest is grouped: windows of single rows stand above no exchange but that of the texts.
+    branch = plan(got).split("== Initial Plan ==")[0].split("Union")[1]
+    own = branch[: branch.index("HashAggregate")]
+    assert own.count("Exchange ") == 1
