@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.genotype import left_shift
-from strandline.session import checkpoint
+from strandline.session import checkpoint, written
 
 CHUNK = 65536
 
@@ -34,12 +34,12 @@ def reference_windows(
     """The sequence under each closed 1-based span, in column ``out``; ``start`` and ``end`` are moved inside the contig.
 
     A window of up to ``reach`` bases lies in the halo of the chunk where it begins, so it meets one row. Longer ones are
-    put together from the chunks they touch. Spans outside the contig, before its first base or without a sequence have
+    put together from the chunks they touch. The spans are written once below the checkpoint folder. Spans outside the contig, before its first base or without a sequence have
     an empty or null window.
     """
     keys, (s, e) = list(keys), span
     x = spans.withColumn("__s", F.greatest(F.lit(1).cast("long"), F.col(s).cast("long"))).withColumn("__e", F.col(e).cast("long"))
-    x = x.withColumn("chunk", F.floor((F.col("__s") - 1) / chunk_size))
+    x = written(x.withColumn("chunk", F.floor((F.col("__s") - 1) / chunk_size)), "spans")  # read for short and for long ones
     short = F.col("__e") - F.col("__s") < reach
     near = x.where(short).join(with_halo(reference, keys, chunk_size, reach), [*keys, "chunk"], "left")
     at = (F.col("lead") + F.col("__s") - F.col("chunk") * chunk_size).cast("int")
