@@ -157,11 +157,17 @@ def excess_het(ref: Column, het: Column, hom: Column) -> Column:
 
     down = walk(F.floor(mid / 2), lambda s: s["p"] * s["h"] * (s["h"] - 1) / ((s["r"] + 1) * (s["c"] + 1) * 4), -2)
     up = walk(r0, lambda s: s["p"] * s["r"] * s["c"] * 4 / ((s["h"] + 2) * (s["h"] + 1)), 2)
-    total = down["sum"] + up["sum"] + 1.0
-    tail = down["tail"] + up["tail"] + F.when(mid >= het, F.lit(1.0)).otherwise(F.lit(0.0))
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail / total))
-    phred = F.greatest(F.lit(0.0), F.lit(-10.0) * F.log10(p))
-    return F.when(n == 0, F.lit(0.0)).when(p < 1e-60, F.lit(160.0)).otherwise(phred)
+
+    def phred(walks: Column) -> Column:
+        down, up = walks["down"], walks["up"]
+        total = down["sum"] + up["sum"] + 1.0
+        tail = down["tail"] + up["tail"] + F.when(mid >= het, F.lit(1.0)).otherwise(F.lit(0.0))
+        p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), tail / total))
+        score = F.greatest(F.lit(0.0), F.lit(-10.0) * F.log10(p))
+        return F.when(n == 0, F.lit(0.0)).when(p < 1e-60, F.lit(160.0)).otherwise(score)
+
+    # The walks are an array's only element, so that they are walked once and not at each mention of their sums.
+    return F.transform(F.array(F.struct(down.alias("down"), up.alias("up"))), phred)[0]
 
 
 @lru_cache(maxsize=4096)
