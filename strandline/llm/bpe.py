@@ -1,9 +1,10 @@
-"""Byte-level BPE by ranks: native folds over the distinct words of a batch, decoding by joining binary pieces.
+"""Byte-level BPE by ranks: native folds over the distinct words of a table, decoding by joining binary pieces.
 
-Plan of :func:`encode`: one narrow stage without a shuffle. A Python step cuts whole texts into the matches of the
-split pattern and numbers the distinct ones of a block of documents; Spark's higher-order functions fold the ranked
-merges over the bytes of each distinct word once, with the ranks as a literal; a second Python step deals the ids of
-the words back to the documents. A lost executor costs the blocks it was working on and nothing else.
+Plan of :func:`encode`: a Python step cuts whole texts into the matches of the split pattern, writes the places of each block
+of documents to a file of the shared folder and passes on the distinct words that are no token as a whole. These meet by
+word; Spark's higher-order functions fold the ranked merges over the bytes of each distinct word of the table once, with
+the ranks as a literal. The symbols go back to the blocks, where a second Python step deals them to the documents.
+What is shuffled: a narrow row a block and word, once by word and once by block. Texts and places do not move.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,9 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm import common
+
 BLOCK_CHARS = 32_000_000  # text that one block of documents holds before it is passed on; results do not depend on it
 LONG_WORD = 192  # bytes; longer words are merged with a heap, since the fold's cost is quadratic in the word
 BUCKETS = 32_768  # entries of the literal rank table, a power of two
+EDGE = "\ufffe"  # stands before and after a word, and is no token
 NONE = "\uffff"  # stands between entries, and for two neighbours that make no token: above all symbols
 
 
@@ -68,26 +73,37 @@ def bound(value: Column, use) -> Column:
 
 def fold_merges(table: Column, word: Column) -> Column:
     """One word of symbols with its ranked merges done: at each step of the fold the two neighbours of lowest rank,
-    leftmost first, become one symbol, until no two neighbours have a rank."""
+    leftmost first, become one symbol, until no two neighbours have a rank. What each two neighbours make is carried
+    along, and a step looks up the two pairs that are new. An edge on both sides gives every symbol two neighbours."""
 
     def merged_symbol(pair: Column) -> Column:
         """The symbol that two make, else NONE: what follows the pair in its bucket, else the bucket's own beginning."""
         entries = F.get(table, F.crc32(pair.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int"))
         return F.substring(F.call_function("substring_index", entries, F.concat(F.lit(NONE), pair), F.lit(-1)), 1, 1)
 
-    def step(now: Column, _: Column) -> Column:
-        w = now["w"]
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.length(w) - 1),
-            lambda i: F.struct(merged_symbol(F.substring(w, i, F.lit(2))).alias("makes"), i.alias("at")),
+    def step(now: Column, low: Column) -> Column:
+        def merged(at: Column) -> Column:
+            around = F.concat(F.substring(now["w"], at - 1, F.lit(1)), low, F.substring(now["w"], at + 2, F.lit(1)))
+            new = F.array(merged_symbol(F.substring(around, 1, 2)), merged_symbol(F.substring(around, 2, 2)))
+            return F.struct(
+                F.overlay(now["w"], low, at, F.lit(2)).alias("w"),
+                F.concat(F.slice(now["m"], F.lit(1), at - 2), new, F.slice(now["m"], at + 2, F.length(now["w"]))).alias("m"),
+                F.lit(True).alias("go"),
+            )
+
+        return F.when(low < NONE, bound(F.array_position(now["m"], low).cast("int"), merged)).otherwise(
+            F.struct(now["w"].alias("w"), now["m"].alias("m"), F.lit(False).alias("go"))
         )
-        return bound(F.array_min(pairs), lambda low: F.when(low["makes"] < NONE, F.struct(
-            F.overlay(w, low["makes"], low["at"], F.lit(2)).alias("w"), (F.length(w) > 2).alias("go")
-        )).otherwise(F.struct(w.alias("w"), F.lit(False).alias("go"))))
 
-    start = F.struct(word.alias("w"), (F.length(word) > 1).alias("go"))
+    edged = F.concat(F.lit(EDGE), word, F.lit(EDGE))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: merged_symbol(F.substring(edged, i, F.lit(2))))
+    start = F.struct(edged.alias("w"), pairs.alias("m"), (F.length(word) > 1).alias("go"))
     steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
-    return F.aggregate(steps, start, lambda now, i: F.when(now["go"], step(now, i)).otherwise(now), lambda done: done["w"])
+
+    def one(now: Column, _: Column) -> Column:
+        return F.when(now["go"], bound(F.array_min(now["m"]), lambda low: step(now, low))).otherwise(now)
+
+    return F.aggregate(steps, start, one, lambda done: F.substring(done["w"], F.lit(2), F.length(done["w"]) - 2))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -141,14 +157,12 @@ class Vocabulary:
             self.tokens[rank] = token
         self.decimals = [str(i) for i in range(len(self.tokens))]
 
-    def symbols(self, word: str) -> str:
-        """A word as it goes to the fold: one symbol if it is a token as a whole, else one a byte."""
+    def done(self, word: str) -> str | None:
+        """The symbols of a word that needs no fold: one if it is a token as a whole, those of the heap if it is long."""
         data = word.encode("utf-8", "surrogatepass")
         if (rank := self.ranks.get(data)) is not None:
             return symbol(rank)
-        if len(data) > LONG_WORD:
-            return "".join(map(symbol, merge_long(data, self.ranks)))
-        return symbols(data, self.single)
+        return "".join(map(symbol, merge_long(data, self.ranks))) if len(data) > LONG_WORD else None
 
 
 def decode(ids: np.ndarray, vocabulary: Vocabulary) -> bytes:
@@ -162,32 +176,50 @@ def digests(ids: np.ndarray, vocabulary: Vocabulary) -> tuple[str, str]:
     return hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decode(ids, vocabulary)).hexdigest()
 
 
-BLOCKS = pa.schema([
-    ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary()), ("words", pa.list_(pa.string())),
-])
+WORDS = pa.schema([("block", pa.int64()), ("at", pa.int32()), ("word", pa.string())])
+
+
+def write_block(folder: str, doc_ids: list, places: list[np.ndarray], words: list[str | None]) -> int:
+    """One file of the shared folder, under a number that is returned: documents, the places of their matches in the list
+    of words, and the symbols of the words where they are known."""
+    number = uuid.uuid4().int >> 65
+    block = pa.record_batch({
+        "doc_ids": pa.array([doc_ids], pa.list_(pa.int64())), "sizes": pa.array([[len(p) for p in places]], pa.list_(pa.int64())),
+        "places": pa.array([np.concatenate(places).tobytes()], pa.large_binary()), "words": pa.array([words], pa.list_(pa.string())),
+    })
+    system, path = common.open_folder(folder)
+    temporary = common.attempt_name(f"{path}/{number}.arrow")
+    with system.open_output_stream(temporary) as out, pa.ipc.new_file(out, block.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+        file.write(block)
+    common.finish(system, temporary, f"{path}/{number}.arrow")
+    return number
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, rank_file: str, pattern: str, digest: bool = False) -> DataFrame:
     """One row a row: doc_id, n_tokens, and either ``ids`` (16-bit little-endian) or the two digests.
 
     Nulls: a null text is empty and has no tokens; a null id is kept. Rows that repeat an id each have theirs. Texts are
-    whole, of any length; words longer than LONG_WORD bytes are merged with a heap before the fold, which finds nothing
-    left to merge in them. An empty table gives an empty result; other columns are ignored.
+    whole, of any length; words longer than LONG_WORD bytes are merged with a heap and do not go to the fold. An empty
+    table gives an empty result; other columns are ignored.
     """
+    folder = common.shared_folder(df.sparkSession, "token-blocks")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, split = Vocabulary.of(rank_file), regex.compile(pattern)
         known: dict[str, int] = {}
         doc_ids, places, chars = [], [], 0
 
-        def block() -> pa.RecordBatch:
-            row = {
-                "doc_ids": doc_ids, "sizes": [len(p) for p in places], "places": np.concatenate(places).tobytes(),
-                "words": [vocabulary.symbols(w) for w in known],
-            }
-            return pa.RecordBatch.from_pylist([row], schema=BLOCKS)
-
-        for batch in batches:
+        def block() -> Iterator[pa.RecordBatch]:
+            """The words to fold, and an empty one by which a block without any comes back."""
+            done = [vocabulary.done(w) for w in known]
+            at = [-1] + [i for i, d in enumerate(done) if d is None]
+            words = [""] + [symbols(w.encode("utf-8", "surrogatepass"), vocabulary.single) for w, d in zip(known, done, strict=True) if d is None]
+            number = write_block(folder, doc_ids, places, done)
+            for i in range(0, len(at), 50_000):
+                n = len(at[i : i + 50_000])
+                yield pa.record_batch([pa.array([number] * n, pa.int64()), pa.array(at[i : i + n], pa.int32()), pa.array(words[i : i + n])], schema=WORDS)
+
+        for batch in common.batches_of(batches, "text", 4_000_000):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = split.findall(text or "")
                 for word in set(found).difference(known):
@@ -196,36 +228,42 @@ def encode(df: DataFrame, id_col: str, text_col: str, rank_file: str, pattern: s
                 places.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
-                    yield block()
+                    yield from block()
                     known, doc_ids, places, chars = {}, [], [], 0
         if doc_ids:
-            yield block()
+            yield from block()
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(key: tuple, found: pa.Table) -> pa.Table:
         vocabulary = Vocabulary.of(rank_file)
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, sizes, places, words = (batch.column(c)[row] for c in range(4))
-                words = words.as_py()
-                sizes_of = np.fromiter(map(len, words), np.int64, len(words))
-                flat = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16) - np.uint16(1)
-                table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes_of)])), pa.array(flat))
-                places = np.frombuffer(places.as_py(), np.int32)
-                ids = pc.take(table, pa.array(places)).flatten().to_numpy()
-                ends = np.concatenate([[0], np.cumsum(sizes_of[places])])
-                edges = ends[np.concatenate([[0], np.cumsum(np.array(sizes.as_py(), np.int64))])]
-                parts = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                columns = [doc_ids.values, pa.array(np.diff(edges))]
-                if digest:
-                    both = [digests(p, vocabulary) for p in parts]
-                    columns += [pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())]
-                else:
-                    columns.append(pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary()))
-                yield pa.record_batch(columns, names=names)
+        with pa.ipc.open_file(common.input_file(f"{folder}/{key[0].as_py()}.arrow")) as file:
+            doc_ids, sizes, places, words = (c[0] for c in file.get_batch(0).columns)
+        words = words.as_py()
+        for at, word in zip(found.column("at").to_pylist(), found.column("word").to_pylist(), strict=True):
+            if at >= 0:
+                words[at] = word
+        sizes_of = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-16-le"), np.uint16) - np.uint16(1)
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes_of)])), pa.array(flat))
+        places = np.frombuffer(places.as_buffer(), np.int32)
+        ids = pc.take(table, pa.array(places)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(sizes_of[places])])
+        edges = ends[np.concatenate([[0], np.cumsum(np.array(sizes.as_py(), np.int64))])]
+        parts = [ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        columns = [doc_ids.values, pa.array(np.diff(edges))]
+        if digest:
+            both = [digests(p, vocabulary) for p in parts]
+            columns += [pa.array([x for x, _ in both], pa.string()), pa.array([y for _, y in both], pa.string())]
+        else:
+            columns.append(pa.array([p.astype("<u2").tobytes() for p in parts], pa.binary()))
+        return pa.table(columns, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "n_tokens", "ids"]
     out = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = rows.mapInArrow(number, "doc_ids array<long>, sizes array<long>, places binary, words array<string>")
-    merged = bound(rank_table(read_ranks(rank_file)), lambda table: F.transform("words", lambda w: fold_merges(table, w)))
-    return blocks.select("doc_ids", "sizes", "places", merged.alias("words")).mapInArrow(deal, out)
+    words = common.stored(rows.mapInArrow(number, "block long, at int, word string"), "block-words")
+    # As many tasks as read the texts: the words are few bytes and much work.
+    tasks = max(1, rows.rdd.getNumPartitions())
+    each = words.repartition(tasks, "word").groupBy("word").agg(F.collect_list(F.struct("block", "at")).alias("uses"))
+    merged = each.select("uses", bound(rank_table(read_ranks(rank_file)), lambda table: fold_merges(table, F.col("word"))).alias("word"))
+    back = merged.select("word", F.explode("uses").alias("use")).select("use.block", "use.at", "word")
+    return back.repartition(4 * tasks, "block").groupBy("block").applyInArrow(deal, out)
